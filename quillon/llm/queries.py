@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from quillon.llm import common, quality
+from quillon.llm import common, packing, quality, tokenfile
 
 
 def op5_compression_bands(spark, sf_dir):
     return quality.quality(common.documents(spark, sf_dir))
 
 
-QUERIES = {"op5_compression_bands": op5_compression_bands}
+def op3_elias_fano_tokens(spark, sf_dir):
+    return tokenfile.read(tokenfile.write(common.documents(spark, sf_dir)))
+
+
+def op6_dominance_packing(spark, sf_dir):
+    return packing.pack(common.documents(spark, sf_dir))
+
+
+QUERIES = {"op3_elias_fano_tokens": op3_elias_fano_tokens, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
 ORACLES: dict[str, str] = {}
