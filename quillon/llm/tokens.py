@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -21,7 +20,8 @@ import pyarrow.compute as pc  # noqa: E402
 from quillon.llm import common as C  # noqa: E402
 
 END = 2
-LOOSE = re.compile(r" \s|\s ")
+#: A space beside other white space (all that any of the libraries takes for it).
+LOOSE = r" [\s\v\x1c-\x1f\x{85}\pZ]|[\s\v\x1c-\x1f\x{85}\pZ] "
 _loaded: dict[str, object] = {}
 
 
@@ -36,41 +36,98 @@ def tokenizer(name: str):
     return _loaded[name]
 
 
-#: Places in a piece where the first split always cuts: round a lone line feed, and before a stop after a letter.
-CUTS = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z\u00df-\u00f6\u00f8-\u00ff])(?=[.,])")
-#: Most pieces that a worker remembers; beyond, it starts anew. A bound of memory, without effect on results.
-REMEMBERED = 800_000
-_known: dict[str, dict[str, bytes]] = {}
-
-
-def _encoded(tok, texts: list[str], known: dict[str, bytes] | None = None, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Ids end to end, and how many each text has. known: encodings of pieces, used and extended."""
-    if known is None:
-        known, cut = {}, lambda t: (t,)
-    else:
-        cut = CUTS.split
-        if len(known) > REMEMBERED:
-            known.clear()
-    missed = [(t, cut(t)) for t in dict.fromkeys(texts) if t not in known]
-    new = list(dict.fromkeys(p for _, parts in missed for p in parts if p not in known))
-    for i in range(0, len(new), step):
-        some = new[i : i + step]
-        known.update(zip(some, (array("I", e.ids).tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-    for t, parts in missed:
-        if len(parts) > 1:
-            known[t] = b"".join([known[p] for p in parts])
-    found = [known[t] for t in texts]
-    return np.frombuffer(b"".join(found), dtype=np.uint32), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+#: Places in a piece where the first split always cuts: round a lone line feed, and between a letter and what is no letter.
+CUTS = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z\u00df-\u00f6\u00f8-\u00ff])(?=[!-@\[-`{-~])")
+#: Parts that may be encoded many at once, with a line feed (one id of its own) between them.
+JOINED = re.compile(r" ?\S+").fullmatch
+#: Most parts that a worker remembers; beyond, it starts anew. A bound of memory, without effect on results.
+REMEMBERED = 500_000
+
+
+class Memo:
+    """Encodings of parts: ``index`` of each, and its ids in a growing table."""
+
+    def __init__(self, tok):
+        self.tok = tok
+        (self.feed,) = tok.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table, self.at, self.size, self.used, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Append encodings; the index of the first."""
+        first, n = self.count, len(sizes)
+        while self.used + len(ids) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        while first + n > len(self.at):
+            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
+        self.table[self.used : self.used + len(ids)] = ids
+        self.at[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.used += len(ids)
+        self.count += n
+        return first
+
+    def learn(self, new: list[str]) -> None:
+        easy = [p for p in new if JOINED(p)]
+        ids, sizes = [], []
+        for i in range(0, len(easy), 512):
+            got = np.array(self.tok.encode("\n".join(easy[i : i + 512]) + "\n", add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(got == self.feed)
+            ids.append(got[got != self.feed])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        hard = [p for p in new if not JOINED(p)]
+        for i in range(0, len(hard), 4096):
+            some = [e.ids for e in self.tok.encode_batch_fast(hard[i : i + 4096], add_special_tokens=False)]
+            ids.append(np.array([x for e in some for x in e], np.uint32))
+            sizes.append(np.array([len(e) for e in some], np.int64))
+        if new:
+            first = self.add(np.concatenate(ids), np.concatenate(sizes))
+            self.index.update(zip(easy + hard, range(first, first + len(new)), strict=True))
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has."""
+        get = self.index.get
+        found = np.fromiter((get(t, -1) for t in texts), np.int64, len(texts))
+        lost = np.flatnonzero(found < 0)
+        cut = [CUTS.split(texts[i]) for i in lost]
+        self.learn([p for p in dict.fromkeys(p for parts in cut for p in parts) if p not in self.index])
+        counts = np.ones(len(texts), np.int64)
+        counts[lost] = [len(parts) for parts in cut]
+        parts = np.repeat(found, counts)
+        begin = np.cumsum(counts) - counts
+        parts[C.ragged(begin[lost], counts[lost])] = np.fromiter((self.index[p] for ps in cut for p in ps), np.int64)
+        size = self.size[parts]
+        ids = self.table[C.ragged(self.at[parts], size)]
+        total = np.add.reduceat(size, begin) if len(texts) else size
+        whole = {texts[i]: i for i, ps in zip(lost.tolist(), cut, strict=True) if len(ps) > 1 and "\n" not in texts[i]}
+        at = np.fromiter(whole.values(), np.int64, len(whole))
+        first = self.add(ids[C.ragged((np.cumsum(total) - total)[at], total[at])], total[at])
+        self.index.update(zip(whole, range(first, first + len(whole)), strict=True))
+        return ids, total
+
+
+_memos: dict[str, Memo] = {}
+
+
+def memo(name: str) -> Memo:
+    found = _memos.setdefault(name, Memo(tokenizer(name))) if name not in _memos else _memos[name]
+    if len(found.index) > REMEMBERED:
+        found.forget()
+    return found
 
 
 def encode(texts: pa.Array, name: str, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end (each followed by ``end``, if given), and the start of each text's ids
     with the total last. Null counts as empty."""
-    tok, known = tokenizer(name), _known.setdefault(name, {})
+    tok, known = tokenizer(name), memo(name)
     col = C.as_binary(texts).cast(pa.string())
     n = len(col)
-    loose = np.fromiter((LOOSE.search(t) is not None for t in col.to_pylist()), dtype=bool, count=n)
-    whole, whole_n = _encoded(tok, col.filter(pa.array(loose)).to_pylist(), step=64)
+    loose = pc.match_substring_regex(col, LOOSE).to_numpy(zero_copy_only=False)
+    alone = [e.ids for e in tok.encode_batch_fast(col.filter(pa.array(loose)).to_pylist(), add_special_tokens=False)]
+    whole, whole_n = np.array([x for e in alone for x in e], np.uint32), np.array([len(e) for e in alone], np.int64)
     plain = pc.if_else(pa.array(loose), "", col)
     lists = pc.split_pattern(plain, " ")
     at = np.frombuffer(lists.buffers()[1], dtype=np.int32)[lists.offset : lists.offset + n + 1].astype(np.int64)
@@ -78,8 +135,8 @@ def encode(texts: pa.Array, name: str, end: int | None = END) -> tuple[np.ndarra
     at = at - at[0]
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    later, later_n = _encoded(tok, [f" {p}" for p in coded.dictionary.to_pylist()], known)
-    first, first_n = _encoded(tok, flat.take(pa.array(at[:-1])).to_pylist(), known)
+    later, later_n = known.encoded(pc.binary_join_element_wise(" ", coded.dictionary, "").to_pylist())
+    first, first_n = known.encoded(flat.take(pa.array(at[:-1])).to_pylist())
     # one table of encodings: later pieces, first pieces by row, whole texts, the end id
     table = np.concatenate((later, first, whole, np.array([0 if end is None else end], np.uint32)))
     table_n = np.concatenate((later_n, first_n, whole_n, [0 if end is None else 1]))
