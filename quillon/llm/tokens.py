@@ -22,6 +22,8 @@ from quillon.llm import common as C  # noqa: E402
 END = 2
 #: A space beside other white space (all that any of the libraries takes for it).
 LOOSE = r" [\s\v\x1c-\x1f\x{85}\pZ]|[\s\v\x1c-\x1f\x{85}\pZ] "
+#: Bytes of text encoded at once.
+CHUNK = 6 << 20
 _loaded: dict[str, object] = {}
 
 
@@ -41,7 +43,7 @@ CUTS = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z\u00df-\u00f6\u00
 #: Parts that may be encoded many at once, with a line feed (one id of its own) between them.
 JOINED = re.compile(r" ?\S+").fullmatch
 #: Most parts that a worker remembers; beyond, it starts anew. A bound of memory, without effect on results.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 class Memo:
@@ -92,7 +94,7 @@ class Memo:
         get = self.index.get
         found = np.fromiter((get(t, -1) for t in texts), np.int64, len(texts))
         lost = np.flatnonzero(found < 0)
-        cut = [CUTS.split(texts[i]) for i in lost]
+        cut = [(t,) if t[1:].isalpha() and t[0] != "\n" else CUTS.split(t) for t in map(texts.__getitem__, lost.tolist())]
         self.learn([p for p in dict.fromkeys(p for parts in cut for p in parts) if p not in self.index])
         counts = np.ones(len(texts), np.int64)
         counts[lost] = [len(parts) for parts in cut]
