@@ -209,5 +209,5 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = T.END
     of, most = slots(plan(counts, size)[0]), max(counts.values(), default=0)
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_chunk.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut_up.join(ranks, ["chunk", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = cut_up.join(ranks.hint("shuffle_merge"), ["chunk", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lambda b: place(b, of, most), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

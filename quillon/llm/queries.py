@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import common, packing, quality, repeats, tokenfile
+from quillon.llm import common, jaccard, packing, quality, repeats, tokenfile
 
 
 def op5_compression_bands(spark, sf_dir):
@@ -25,5 +25,9 @@ def op9_levelwise_doubling(spark, sf_dir):
     return repeats.substring_dedup(common.documents(spark, sf_dir))
 
 
-QUERIES = {"op7_prefix_doubling": op7_prefix_doubling, "op9_levelwise_doubling": op9_levelwise_doubling, "op3_elias_fano_tokens": op3_elias_fano_tokens, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
+def op10_token_group_matrix(spark, sf_dir):
+    return jaccard.join(common.documents(spark, sf_dir))
+
+
+QUERIES = {"op10_token_group_matrix": op10_token_group_matrix, "op7_prefix_doubling": op7_prefix_doubling, "op9_levelwise_doubling": op9_levelwise_doubling, "op3_elias_fano_tokens": op3_elias_fano_tokens, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
 ORACLES: dict[str, str] = {}
