@@ -89,8 +89,7 @@ class Text:
             for j in range(8):
                 part = np.frombuffer(padded, "<u8", offset=j, count=(len(padded) - j) // 8)
                 eight[j::8] = part[: len(eight[j::8])]
-            step = rule.start - 8
-            self.run = C.pair(eight, np.concatenate((eight[step:], eight[:step] * U64(0)))) if step else C.mix(eight)
+            self.run = C.mix(joined(eight, rule.start))
         self.counts = np.diff(self.starts)
         self.n = int(self.starts[-1])
 
@@ -125,6 +124,16 @@ class Text:
         return names
 
 
+def joined(eight: np.ndarray, size: int) -> np.ndarray:
+    """Names of runs of ``size`` bytes, from those of 8 bytes, by doubling."""
+    names, have = eight, 8
+    while have < size:
+        step = min(have, size - have)
+        names = C.pair(names, np.concatenate((names[step:], np.zeros(min(step, len(names)), np.uint64))))
+        have += step
+    return names
+
+
 def in_order(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
     """Rows by doc_id, and the doc_ids with LAST for null."""
     doc = batch.column("doc_id").fill_null(LAST).to_numpy()
@@ -432,9 +441,9 @@ def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     return done.unionByName(cut)
 
 
-#: Words: 20 in a window, whose least run of 10 is its anchor. Bytes: 50, and 16.
+#: Words: 20 in a window, whose least run of 10 is its anchor. Bytes: 50, and 24.
 WORDS = Rule("word", 20, 10, False)
-BYTES = Rule("byte", 50, 16, True)
+BYTES = Rule("byte", 50, 24, True)
 
 
 def substring_dedup(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
