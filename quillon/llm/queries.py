@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import common, jaccard, packing, quality, repeats, tokenfile
+from quillon.llm import common, jaccard, langid, packing, quality, repeats, tokenfile
 
 
 def op5_compression_bands(spark, sf_dir):
@@ -13,6 +13,10 @@ def op3_elias_fano_tokens(spark, sf_dir):
     return tokenfile.read(tokenfile.write(common.documents(spark, sf_dir)))
 
 
+def op4_byte_network(spark, sf_dir):
+    return langid.identify(common.documents(spark, sf_dir))
+
+
 def op6_dominance_packing(spark, sf_dir):
     return packing.pack(common.documents(spark, sf_dir))
 
@@ -29,5 +33,5 @@ def op10_token_group_matrix(spark, sf_dir):
     return jaccard.join(common.documents(spark, sf_dir))
 
 
-QUERIES = {"op10_token_group_matrix": op10_token_group_matrix, "op7_prefix_doubling": op7_prefix_doubling, "op9_levelwise_doubling": op9_levelwise_doubling, "op3_elias_fano_tokens": op3_elias_fano_tokens, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
+QUERIES = {"op10_token_group_matrix": op10_token_group_matrix, "op7_prefix_doubling": op7_prefix_doubling, "op9_levelwise_doubling": op9_levelwise_doubling, "op3_elias_fano_tokens": op3_elias_fano_tokens, "op4_byte_network": op4_byte_network, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
 ORACLES: dict[str, str] = {}
