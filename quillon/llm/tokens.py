@@ -73,14 +73,15 @@ class Memo:
         return first
 
     def learn(self, new: list[str]) -> None:
-        easy = [p for p in new if JOINED(p)]
+        easy, hard = [], []
+        for p in new:
+            (easy if p[1:].isalpha() and p[0] != "\n" or JOINED(p) else hard).append(p)
         ids, sizes = [], []
         for i in range(0, len(easy), 512):
-            got = np.array(self.tok.encode("\n".join(easy[i : i + 512]) + "\n", add_special_tokens=False).ids, np.uint32)
+            got = np.array(self.tok.encode_batch_fast(["\n".join(easy[i : i + 512]) + "\n"], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(got == self.feed)
             ids.append(got[got != self.feed])
             sizes.append(np.diff(ends, prepend=-1) - 1)
-        hard = [p for p in new if not JOINED(p)]
         for i in range(0, len(hard), 4096):
             some = [e.ids for e in self.tok.encode_batch_fast(hard[i : i + 4096], add_special_tokens=False)]
             ids.append(np.array([x for e in some for x in e], np.uint32))
@@ -142,13 +143,19 @@ def encode(texts: pa.Array, name: str, end: int | None = END) -> tuple[np.ndarra
     # one table of encodings: later pieces, first pieces by row, whole texts, the end id
     table = np.concatenate((later, first, whole, np.array([0 if end is None else end], np.uint32)))
     table_n = np.concatenate((later_n, first_n, whole_n, [0 if end is None else 1]))
-    table_at = np.concatenate(([0], np.cumsum(table_n)[:-1]))
+    table_at = np.concatenate(([0], np.cumsum(table_n)[:-1])).astype(np.int32)
+    table_n = table_n.astype(np.int32)
     n_later = len(later_n)
     codes[at[:-1]] = n_later + np.arange(n)
     codes[at[:-1][loose]] = n_later + n + np.arange(int(loose.sum()))
-    pieces = np.insert(codes, at[1:], len(table_n) - 1)
+    ends = at[1:] + np.arange(n)
+    pieces = np.empty(len(codes) + n, np.int32)
+    is_end = np.zeros(len(pieces), bool)
+    is_end[ends] = True
+    pieces[is_end], pieces[~is_end] = len(table_n) - 1, codes
     counts = table_n[pieces]
-    ids = table[C.ragged(table_at[pieces], counts)]
-    piece_at = np.concatenate(([0], np.cumsum(counts)))
-    starts = piece_at[np.concatenate((at + np.arange(n + 1),))]
+    upto = np.cumsum(counts, dtype=np.int64)
+    shift = (table_at[pieces] - (upto - counts)).astype(np.int32 if upto[-1:].sum() < 1 << 31 else np.int64)
+    ids = table[np.arange(upto[-1] if n else 0, dtype=shift.dtype) + np.repeat(shift, counts)]
+    starts = np.concatenate(([0], upto[ends]))
     return ids, starts
