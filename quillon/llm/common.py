@@ -125,6 +125,16 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * GOLD + (b ^ (b >> U64(29))) + MIX2)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """Of each byte, it and the seven after it as one number (zeros past the end)."""
+    padded = np.concatenate((data, np.zeros(16, np.uint8))).tobytes()
+    out = np.zeros(len(data), np.uint64)
+    for j in range(min(8, len(data))):
+        part = np.frombuffer(padded, "<u8", offset=j, count=(len(padded) - j) // 8)
+        out[j::8] = part[: len(out[j::8])]
+    return out
+
+
 class Words:
     """Words of a run of rows: ``hashes`` of all words end to end, ``starts`` of each row among them."""
 

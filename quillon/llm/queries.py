@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quillon.llm import common, jaccard, langid, packing, quality, repeats, tokenfile
+from quillon.llm import common, decontam, jaccard, langid, packing, quality, repeats, tokenfile
 
 
 def op5_compression_bands(spark, sf_dir):
     return quality.quality(common.documents(spark, sf_dir))
 
 
+def op2_qgram_lemma(spark, sf_dir):
+    return decontam.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_elias_fano_tokens(spark, sf_dir):
     return tokenfile.read(tokenfile.write(common.documents(spark, sf_dir)))
 
@@ -33,5 +37,5 @@ def op10_token_group_matrix(spark, sf_dir):
     return jaccard.join(common.documents(spark, sf_dir))
 
 
-QUERIES = {"op10_token_group_matrix": op10_token_group_matrix, "op7_prefix_doubling": op7_prefix_doubling, "op9_levelwise_doubling": op9_levelwise_doubling, "op3_elias_fano_tokens": op3_elias_fano_tokens, "op4_byte_network": op4_byte_network, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
+QUERIES = {"op10_token_group_matrix": op10_token_group_matrix, "op7_prefix_doubling": op7_prefix_doubling, "op9_levelwise_doubling": op9_levelwise_doubling, "op2_qgram_lemma": op2_qgram_lemma, "op3_elias_fano_tokens": op3_elias_fano_tokens, "op4_byte_network": op4_byte_network, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
 ORACLES: dict[str, str] = {}

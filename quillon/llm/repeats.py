@@ -84,11 +84,7 @@ class Text:
             self.run = C.windows(unit, rule.start)
         else:
             data, self.starts = C.raw(batch.column("text"))
-            eight = np.zeros(len(data), np.uint64)
-            padded = np.concatenate((data, np.zeros(16, np.uint8))).tobytes()
-            for j in range(8):
-                part = np.frombuffer(padded, "<u8", offset=j, count=(len(padded) - j) // 8)
-                eight[j::8] = part[: len(eight[j::8])]
+            eight = C.eights(data)
             self.run = C.mix(joined(eight, rule.start))
         self.counts = np.diff(self.starts)
         self.n = int(self.starts[-1])
