@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quillon.llm import common, decontam, jaccard, langid, packing, quality, repeats, tokenfile
+from quillon.llm import common, decontam, jaccard, langid, licenses, packing, quality, repeats, tokenfile, unigram
 
 
 def op5_compression_bands(spark, sf_dir):
     return quality.quality(common.documents(spark, sf_dir))
 
 
+def op1_license_scan(spark, sf_dir):
+    return licenses.licenses(common.documents(spark, sf_dir))
+
+
 def op2_qgram_lemma(spark, sf_dir):
     return decontam.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -29,6 +33,10 @@ def op7_prefix_doubling(spark, sf_dir):
     return repeats.suffix_dedup(common.documents(spark, sf_dir))
 
 
+def op8_unigram_counts(spark, sf_dir):
+    return unigram.count_tokens(common.documents(spark, sf_dir))
+
+
 def op9_levelwise_doubling(spark, sf_dir):
     return repeats.substring_dedup(common.documents(spark, sf_dir))
 
@@ -37,5 +45,5 @@ def op10_token_group_matrix(spark, sf_dir):
     return jaccard.join(common.documents(spark, sf_dir))
 
 
-QUERIES = {"op10_token_group_matrix": op10_token_group_matrix, "op7_prefix_doubling": op7_prefix_doubling, "op9_levelwise_doubling": op9_levelwise_doubling, "op2_qgram_lemma": op2_qgram_lemma, "op3_elias_fano_tokens": op3_elias_fano_tokens, "op4_byte_network": op4_byte_network, "op6_dominance_packing": op6_dominance_packing, "op5_compression_bands": op5_compression_bands}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_qgram_lemma, op3_elias_fano_tokens, op4_byte_network, op5_compression_bands, op6_dominance_packing, op7_prefix_doubling, op8_unigram_counts, op9_levelwise_doubling, op10_token_group_matrix)}
 ORACLES: dict[str, str] = {}
