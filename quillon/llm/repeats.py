@@ -24,6 +24,7 @@ place (smaller doc_id, or the same text; words).
 from __future__ import annotations
 
 import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -366,8 +367,8 @@ def single(batches, rule: Rule, n_parts: int):
 
 # ---------------------------------------------------------------- result
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha256", pa.string()), ("kept_text", pa.binary())])
-RESULT_DDL = "doc_id long, n_units long, n_removed long, n_spans long, sha256 string, kept_text binary"
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha256", pa.string()), ("crc32", pa.int64()), ("kept_text", pa.binary())])
+RESULT_DDL = "doc_id long, n_units long, n_removed long, n_spans long, sha256 string, crc32 long, kept_text binary"
 
 
 def removed_units(batch: pa.RecordBatch, rule: Rule):
@@ -383,11 +384,11 @@ def removed_units(batch: pa.RecordBatch, rule: Rule):
 
 def cut_out(batches, rule: Rule, with_text: bool):
     for batch in C.chunks(batches, size=rule.chunk):
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[] for _ in RESULT.names[1:]]
         for t, gone in removed_units(batch, rule):
             units, digest = kept_bytes(t, rule, gone)
             spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-            values = (units, int(gone.sum()), spans, digest, without(t, gone, rule) if with_text else None)
+            values = (units, int(gone.sum()), spans, digest, zlib.crc32(t), without(t, gone, rule) if with_text and spans else None)
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
         yield C.record(RESULT, doc_id=batch.column("doc_id"), **dict(zip(RESULT.names[1:], cols, strict=True)))
@@ -411,8 +412,8 @@ def without(text: bytes, gone: np.ndarray, rule: Rule) -> bytes:
 
 
 def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
-    """Per document: units, units removed, spans, the digest of what stays, and if asked for the text of
-    those from which something was cut (else null)."""
+    """Per document: units, units removed, spans, the digest of what stays, and if asked for, of those from
+    which something was cut, what stays and the crc32 of the text as it was (else null)."""
     spark = docs.sparkSession
     n_parts = C.parts(spark)
     docs = C.only(docs, "doc_id", "text")
@@ -433,7 +434,7 @@ def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     more_gone = opened.where("kind = 'gone'").select("pos", "n", "slots").mapInArrow(gone_rows, RUNS_DDL)
     all_gone = gather(runs.where("not open").unionByName(more).unionByName(more_gone))
     cut = text.join(all_gone.hint("shuffle_merge"), "slot", "left").mapInArrow(lambda b: cut_out(b, rule, with_text), RESULT_DDL)
-    done = saved.where("kind = 'done'").select("doc_id", "n_units", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "sha256", F.lit(None).cast("binary").alias("kept_text"))
+    done = saved.where("kind = 'done'").select("doc_id", "n_units", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "sha256", F.lit(None).cast("long").alias("crc32"), F.lit(None).cast("binary").alias("kept_text"))
     return done.unionByName(cut)
 
 
@@ -455,3 +456,13 @@ def suffix_dedup(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     """Prefix doubling over bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Defined cases as in
     ``substring_dedup``; a cut may fall inside a character, so what stays is bytes."""
     return remove(docs, rule).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
+
+
+def cut_repeats(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
+    """``docs`` without the words that repeat earlier ones; white space before a word goes with it. A
+    document of which nothing is left goes. Rows of one doc_id are told apart by their texts."""
+    cut = remove(docs, rule, with_text=True).where("kept_text IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("crc32").alias("__crc"), F.col("kept_text").cast("string").alias("__text")).dropDuplicates(["__id", "__crc"])
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.crc32(F.col("text").cast("binary")) == F.col("__crc"))
+    found = docs.join(cut.hint("shuffle_merge"), match, "left")
+    found = found.where("__text IS NULL OR __text <> ''").withColumn("text", F.coalesce("__text", "text"))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
