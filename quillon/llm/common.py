@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 U64 = np.uint64
 GOLD, MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -73,9 +73,36 @@ def as_binary(col: pa.Array) -> pa.Array:
     return pc.fill_null(col, b"")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+#: What a worker remembers from task to task: the operator it belongs to, and how to forget it.
+_memory: list = [None, None]
+
+
+def remember(owner: str, forget) -> None:
+    _memory[:] = owner, forget
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows of about ``size`` bytes of ``column``; a longer row stands alone.
-    Small batches are joined, so that a partition gives as few chunks as its bytes need."""
+    Small batches are joined, so that a partition gives as few chunks as its bytes need. What the worker
+    remembers for another operator is dropped first; at the end, freed memory goes back to the system."""
+    if _memory[0] not in (None, owner):
+        _memory[1]()
+        _memory[:] = None, None
+    yield from _chunks(batches, column, size)
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no glibc
+        pass
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     have = 0
 

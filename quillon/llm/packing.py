@@ -179,7 +179,7 @@ def cut(totals: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def pieces(batches, tokenizer: str, end: int, size: int):
     task = TaskContext.get()
     chunk = (task.partitionId() if task else 0) << 24
-    for batch in C.chunks(batches, size=T.CHUNK):
+    for batch in C.chunks(batches, size=T.CHUNK, owner="tokens"):
         ids, starts = T.encode(batch.column("text"), tokenizer, end)
         row, piece, start, length = cut(np.diff(starts), size)
         at = starts[row] + start

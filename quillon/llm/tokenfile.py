@@ -145,7 +145,7 @@ def shards(batches, tokenizer: str, end: int | None, most: int):
         docs, counts, ids, number = [], [], [], number + 1
         return out
 
-    for batch in C.chunks(batches, size=T.CHUNK):
+    for batch in C.chunks(batches, size=T.CHUNK, owner="tokens"):
         some, starts = T.encode(batch.column("text"), tokenizer, end)
         docs += batch.column("doc_id").to_pylist()
         counts.append(np.diff(starts))

@@ -116,7 +116,8 @@ _memos: dict[str, Memo] = {}
 
 
 def memo(name: str) -> Memo:
-    found = _memos.setdefault(name, Memo(tokenizer(name))) if name not in _memos else _memos[name]
+    C.remember("tokens", _memos.clear)
+    found = _memos[name] if name in _memos else _memos.setdefault(name, Memo(tokenizer(name)))
     if len(found.index) > REMEMBERED:
         found.forget()
     return found

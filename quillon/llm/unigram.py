@@ -96,6 +96,7 @@ class Counter:
 
 
 def counter(name: str) -> Counter:
+    C.remember("unigram", _counters.clear)
     if name not in _counters:
         _counters[name] = Counter(pieces(name))
     return _counters[name]
@@ -106,8 +107,8 @@ OUT_DDL = "doc_id long, n_tokens long, score double"
 
 
 def counts(batches, name: str):
-    known = counter(name)
-    for batch in C.chunks(batches, size=6 << 20):
+    for batch in C.chunks(batches, owner="unigram"):
+        known = counter(name)
         text = C.as_binary(batch.column("text")).cast(pa.string())
         # cut before each mark that follows another character, and round line feeds
         marked = pc.replace_substring(pc.if_else(pc.equal(pc.binary_length(text), 0), "", pc.binary_join_element_wise(" ", text, "")), " ", MARK)
