@@ -75,7 +75,7 @@ def split_by_size(df: DataFrame, key: str = "doc_id", content: str = "content",
     return df.select(key, F.posexplode(T.parts_by_size(F.col(content), most, overlap)).alias("chunk_index", "content"))
 
 
-def sentence_pack(c: Column, most: int = 512) -> Column:
+def sentence_pack(c: Column, most: int = 512, overlap: int = 50) -> Column:
     """Array of packs of whole sentences of at most ``most`` characters; a longer sentence stands alone, and
     if it is the last it is split by size."""
     sentences = F.filter(F.transform(F.split(c, T.SENTENCE_END), T.strip), lambda s: s != "")
@@ -88,7 +88,7 @@ def sentence_pack(c: Column, most: int = 512) -> Column:
         return F.struct(F.when(full, F.concat(acc["done"], F.array(T.strip(acc["open"])))).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(longer).alias("open"))
 
     def finish(acc):
-        last = F.when(F.length(acc["open"]) <= most, F.array(T.strip(acc["open"]))).otherwise(F.transform(T.parts_by_size(acc["open"], most), T.strip))
+        last = F.when(F.length(acc["open"]) <= most, F.array(T.strip(acc["open"]))).otherwise(F.transform(T.parts_by_size(acc["open"], most, overlap), T.strip))
         return F.concat(acc["done"], F.filter(last, lambda p: p != ""))
 
     return F.aggregate(sentences, start, step, finish)

@@ -67,13 +67,15 @@ def features(c: Column, stop_words=T.STOP_WORDS) -> Column:
     """Words and pairs of neighbouring words, after stop words are gone."""
     stop = F.array(*(F.lit(w) for w in stop_words))
     w = F.filter(F.regexp_extract_all(F.lower(c), F.lit(T.WORD + "+"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    # zipped, not indexed: an index would make the words anew for each pair
+    joined = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+    pairs = F.filter(joined, lambda p: p.isNotNull())
     return F.concat(w, pairs)
 
 
-def vocabulary(df: DataFrame, content: str = "content", most: int = 10_000, stop_words=T.STOP_WORDS) -> DataFrame:
+def vocabulary(df: DataFrame, key: str = "doc_id", content: str = "content", most: int = 10_000, stop_words=T.STOP_WORDS) -> DataFrame:
     """(term, idf) of the ``most`` most frequent features (a model parameter), ties by term."""
-    counted = df.select(F.monotonically_increasing_id().alias("row"), F.explode(features(F.col(content), stop_words)).alias("term")).groupBy("term", "row").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    counted = df.select(key, F.explode(features(F.col(content), stop_words)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     kept = counted.orderBy(F.desc("cf"), "term").limit(most)
     n = df.agg(F.count("*").alias("n"))
     return kept.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n is one row
@@ -89,7 +91,7 @@ def tfidf_weights(df: DataFrame, vocab: DataFrame, key: str = "doc_id", content:
 
 def tfidf_search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", content: str = "content", query: str = "query", most: int = 10_000) -> DataFrame:
     """(qid, key, score, rank) by cosine of TF-IDF vectors; scores above 0 only."""
-    vocab = vocabulary(df, content, most)
+    vocab = vocabulary(df, key, content, most)
     asked = tfidf_weights(queries, vocab, "qid", query).select("qid", "term", F.col("weight").alias("qw"))
     scored = tfidf_weights(df, vocab, key, content).join(asked, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
     return top(scored.where("score > 0"), k, key).select("qid", key, "score", "rank")

@@ -97,7 +97,7 @@ def best(scored: DataFrame, k: int) -> DataFrame:
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, measure: Callable = cosine) -> DataFrame:
     """(qid, key, score, rank): the k rows of corpus (key, vector) nearest to each of queries (qid, vector).
     Exact. Filter the corpus before to search a part of it."""
-    rows = corpus.select("key", "vector")
+    rows = corpus.select(F.col("key").cast("long").alias("key"), "vector")
     found = corpus.sparkSession.createDataFrame([], "qid long, key long, score double")
     for qids, q in blocks(queries):
         found = found.unionByName(rows.mapInArrow(lambda b, qids=qids, q=q: nearest(b, qids, q, k, measure), "qid long, key long, score double"))
@@ -113,6 +113,8 @@ def centroids(corpus: DataFrame, cells: int, seed: int = 3, per_cell: int = 64,
     share = min(1.0, cells * per_cell / max(n, 1))
     rows = corpus.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).orderBy("key").select("vector").collect()
     x = np.array([r[0] for r in rows], np.float64)
+    if not len(x):
+        return x
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
@@ -138,6 +140,8 @@ def ivf_search(corpus: DataFrame, queries: DataFrame, k: int = 10, cells: int =
     """Approximate search: rows in the ``probes`` cells nearest to a query; all cells give the exact result.
     Rows and queries meet in an equi-join on the cell, which Spark can split where a cell is large."""
     centre = centroids(corpus, cells)
+    if not len(centre):  # an empty corpus
+        return search(corpus, queries, k)
     kind = "array<double>"
     rows = corpus.select("key", F.col("vector").cast(kind).alias("vector")).mapInArrow(lambda b: nearest_cells(b, "key", centre, 1), f"key long, cell int, vector {kind}")
     asked = queries.select("qid", F.col("vector").cast(kind).alias("vector")).mapInArrow(lambda b: nearest_cells(b, "qid", centre, min(probes, len(centre))), f"qid long, cell int, vector {kind}")
@@ -208,4 +212,4 @@ def encode(df: DataFrame, key: str, content: str, width: int = 64, encoder: Call
     """(key, vector) of texts. encoder: batches of (key, content) to batches of (key, vector); by default the
     hash encoder. A model is loaded once in each call, so once a task."""
     encoder = encoder or (lambda b: hash_encode(b, key, width))
-    return df.select(key, F.col(content).alias("content")).mapInArrow(encoder, f"{key} long, vector array<double>")
+    return df.select(F.col(key).cast("long").alias(key), F.col(content).alias("content")).mapInArrow(encoder, f"{key} long, vector array<double>")

@@ -184,9 +184,10 @@ def hydrated(spark, sf_dir, k=10):
 _HYDRATED = f"{_FUSED}, hy AS (SELECT fr.qid, fr.key, fr.score, fr.rank, d.text AS content, d.source AS source_path, d.lang AS section FROM fr JOIN documents d ON d.doc_id = fr.key WHERE fr.rank <= 10)"
 
 
-@query(f"WITH {_FUSED} SELECT qid, key, dense_rank, sparse_rank, score, rank FROM fr")
+@query(f"WITH {_FUSED} SELECT qid, key, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank, score, rank FROM fr")
 def rrf_fuse(spark, sf_dir):
-    return fused(spark, sf_dir)
+    """Rank 0: not found by that search."""
+    return fused(spark, sf_dir).fillna(0, ["dense_rank", "sparse_rank"])
 
 
 @query(f"WITH {_HYDRATED} SELECT qid, key, score, rank, md5(content) AS digest FROM hy WHERE section = 'en'")

@@ -47,10 +47,10 @@ def upsert_documents(spark, sf_dir):
     return S.upsert(stored(spark, sf_dir), new, ["doc_id"]).select("doc_id", "content_hash")
 
 
-@query(f"SELECT doc_id, chunk_index, md5(content) AS digest FROM ({_PARTS}) WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, chunk_index, md5(upper(content)) FROM ({_PARTS}) WHERE doc_id % 4 = 0 AND chunk_index = 0")
+@query(f"SELECT doc_id, chunk_index, md5(content) AS digest FROM ({_PARTS}) WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, chunk_index, md5('new ' || content) FROM ({_PARTS}) WHERE doc_id % 4 = 0 AND chunk_index = 0")
 def upsert_chunks(spark, sf_dir):
     old = chunks(spark, sf_dir)
-    new = old.where("doc_id % 4 = 0 AND chunk_index = 0").withColumn("content", F.upper("content"))
+    new = old.where("doc_id % 4 = 0 AND chunk_index = 0").withColumn("content", F.concat(F.lit("new "), "content"))
     return S.replace_documents(old, new).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
@@ -107,7 +107,7 @@ def logs(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT user_id % 10 AS c, value AS v FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS)
-SELECT count(*) AS total_queries, round(avg(c), 6) AS avg_results_count, round(avg(v), 6) AS avg_retrieval_time_ms, round(avg(v / 2), 6) AS avg_rerank_time_ms, round(avg(v * 1.5), 6) AS avg_total_time_ms, max(v * 1.5) AS max_total_time_ms, min(v * 1.5) AS min_total_time_ms, round(count(*) / 24.0, 6) AS queries_per_hour FROM r""")
+SELECT count(*) AS total_queries, round(avg(c), 9) AS avg_results_count, round(avg(v), 9) AS avg_retrieval_time_ms, round(avg(v / 2), 9) AS avg_rerank_time_ms, round(avg(v * 1.5), 9) AS avg_total_time_ms, max(v * 1.5) AS max_total_time_ms, min(v * 1.5) AS min_total_time_ms, round(count(*) / 24.0, 9) AS queries_per_hour FROM r""")
 def log_window_stats(spark, sf_dir):
     found = logs(spark, sf_dir)
     return S.log_stats(found, 24, str(found.agg(F.max("timestamp").cast("string")).first()[0]))
@@ -129,7 +129,7 @@ def chunk_count(spark, sf_dir):
     return chunks(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, count(*) AS queries, round(avg(value * 1.5), 6) AS avg_total_time_ms FROM events GROUP BY 1")
+@query("SELECT date_trunc('hour', ts) AS start, count(*) AS queries, round(avg(value * 1.5), 9) AS avg_total_time_ms FROM events GROUP BY 1")
 def performance_summary(spark, sf_dir):
     by = logs(spark, sf_dir).groupBy(F.date_trunc("hour", "timestamp").alias("start"))
-    return by.agg(F.count("*").alias("queries"), F.round(F.avg("total_time_ms"), 6).alias("avg_total_time_ms")).select(F.col("start").cast("timestamp_ntz").alias("start"), "queries", "avg_total_time_ms")
+    return by.agg(F.count("*").alias("queries"), F.round(F.avg("total_time_ms"), 9).alias("avg_total_time_ms")).select(F.col("start").cast("timestamp_ntz").alias("start"), "queries", "avg_total_time_ms")

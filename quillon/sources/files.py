@@ -50,7 +50,7 @@ def read_documents(spark: SparkSession, path: str, preserve_newlines: bool = Fal
             yield b.map(lambda x: pdf(bytes(x)))
 
     from_pdf = F.pandas_udf(text_of, "string")
-    raw = F.decode("content", F.lit("UTF-8"))
+    raw = F.decode("content", "UTF-8")
     plain = known.where("doc_type <> 'pdf'").withColumn("text", F.when(F.col("doc_type") == "html", T.html_to_text(raw)).when(F.col("doc_type") == "md", markdown_to_text(raw)).otherwise(raw))
     both = plain.unionByName(known.where("doc_type = 'pdf'").withColumn("text", from_pdf("content")))
     text = F.col("text")

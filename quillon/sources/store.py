@@ -67,8 +67,8 @@ def log_stats(logs: DataFrame, hours: int = 24, now: str | None = None) -> DataF
     are no logs. now: the end of the time, by default the present."""
     end = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     recent = logs.where(F.col("timestamp") > end - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    mean = lambda c: F.round(F.avg(c), 6).alias(f"avg_{c}")
-    return recent.agg(F.count("*").alias("total_queries"), *map(mean, ("results_count", "retrieval_time_ms", "rerank_time_ms", "total_time_ms")), F.max("total_time_ms").alias("max_total_time_ms"), F.min("total_time_ms").alias("min_total_time_ms"), F.round(F.count("*") / hours, 6).alias("queries_per_hour")).where("total_queries > 0")
+    mean = lambda c: F.round(F.avg(c), 9).alias(f"avg_{c}")
+    return recent.agg(F.count("*").alias("total_queries"), *map(mean, ("results_count", "retrieval_time_ms", "rerank_time_ms", "total_time_ms")), F.max("total_time_ms").alias("max_total_time_ms"), F.min("total_time_ms").alias("min_total_time_ms"), F.round(F.count("*") / hours, 9).alias("queries_per_hour")).where("total_queries > 0")
 
 
 def database_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -33,4 +33,4 @@ def text_stream(spark: SparkSession, path: str) -> DataFrame:
     """Documents of text files as they appear in a folder."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.txt").load(path)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
-    return files.select(F.concat_ws("_", stem, F.substring(F.md5("content"), 1, 8)).alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("path").alias("source_path"), F.lit("txt").alias("doc_type"))
+    return files.select(F.concat_ws("_", stem, F.substring(F.md5("content"), 1, 8)).alias("doc_id"), F.decode("content", "UTF-8").alias("content"), F.col("path").alias("source_path"), F.lit("txt").alias("doc_type"))
