@@ -67,6 +67,8 @@ class Index:
         for no, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             low = level(raw, np.array([0, len(raw)]))[0].tobytes().strip()
+            if len(low) < Q:
+                continue
             cuts = list(range(0, len(low), SEGMENT))
             if len(cuts) > 1 and len(low) - cuts[-1] < SEGMENT // 2:
                 cuts.pop()

@@ -23,7 +23,9 @@ from quillon.llm import align
 from quillon.llm import common as C
 
 U64 = np.uint64
-GRAM, WINDOW, BAND, COVERED = 3, 3, 8, 0.8
+#: Words of a gram, grams of a winnowing window, diagonals on each side of a hit that an alignment may use,
+#: and the share of a template that has to match.
+GRAM, WINDOW, BAND, COVERED = 3, 3, 3, 0.8
 
 #: Short notices by which works state their licence.
 TEMPLATES = (
@@ -118,9 +120,9 @@ def scan(batches, index: Index, covered: float):
         at = C.ragged(index.at[g], many)
         template, diagonal = index.template[at], np.repeat(places, many) - index.place[at]
         row = np.searchsorted(words.starts, np.repeat(places, many), side="right") - 1
-        bands = np.unique(np.stack((row, template, diagonal // BAND), axis=1), axis=0)
-        row, template, first = bands[:, 0], bands[:, 1], bands[:, 2] * BAND - BAND
-        width, longest = 3 * BAND, index.words.shape[1]
+        bands = np.unique(np.stack((row, template, diagonal), axis=1), axis=0)
+        row, template, first = bands[:, 0], bands[:, 1], bands[:, 2] - BAND
+        width, longest = 2 * BAND + 1, index.words.shape[1]
         at = first[:, None] + np.arange(longest + width)
         inside = (at >= words.starts[row][:, None]) & (at < words.starts[row + 1][:, None])
         text = np.where(inside, words.hashes[np.clip(at, 0, len(words.hashes) - 1)], U64(1))
