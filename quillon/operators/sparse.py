@@ -63,19 +63,19 @@ def bm25_search(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_
 
 # ---------------------------------------------------------------- TF-IDF
 
-def features(c: Column, stop_words=T.STOP_WORDS) -> Column:
-    """Words and pairs of neighbouring words, after stop words are gone."""
-    stop = F.array(*(F.lit(w) for w in stop_words))
-    w = F.filter(F.regexp_extract_all(F.lower(c), F.lit(T.WORD + "+"), F.lit(0)), lambda x: ~F.array_contains(stop, x))
-    # zipped, not indexed: an index would make the words anew for each pair
+def features(df: DataFrame, key: str, content: str, stop_words=T.STOP_WORDS) -> DataFrame:
+    """(key, term): words and pairs of neighbouring words, after stop words are gone. The words are a column of
+    their own, so they are made once for each row."""
+    found = F.regexp_extract_all(F.lower(F.col(content)), F.lit(T.WORD + "+"), F.lit(0))
+    rows = df.select(key, F.filter(found, lambda x: ~x.isin(*stop_words)).alias("__w"))
+    w = F.col("__w")
     joined = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    pairs = F.filter(joined, lambda p: p.isNotNull())
-    return F.concat(w, pairs)
+    return rows.select(key, F.explode(F.concat(w, F.filter(joined, lambda p: p.isNotNull()))).alias("term"))
 
 
 def vocabulary(df: DataFrame, key: str = "doc_id", content: str = "content", most: int = 10_000, stop_words=T.STOP_WORDS) -> DataFrame:
     """(term, idf) of the ``most`` most frequent features (a model parameter), ties by term."""
-    counted = df.select(key, F.explode(features(F.col(content), stop_words)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    counted = features(df, key, content, stop_words).groupBy("term", key).agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     kept = counted.orderBy(F.desc("cf"), "term").limit(most)
     n = df.agg(F.count("*").alias("n"))
     return kept.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))  # n is one row
@@ -83,7 +83,7 @@ def vocabulary(df: DataFrame, key: str = "doc_id", content: str = "content", mos
 
 def tfidf_weights(df: DataFrame, vocab: DataFrame, key: str = "doc_id", content: str = "content", stop_words=T.STOP_WORDS) -> DataFrame:
     """(key, term, weight): raw counts times idf, of unit length for each key."""
-    tf = df.select(key, F.explode(features(F.col(content), stop_words)).alias("term")).join(vocab.select("term"), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = features(df, key, content, stop_words).join(vocab.select("term"), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
     raw = tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))
