@@ -172,7 +172,7 @@ def nominate(batches, rule: Rule, n_parts: int):
         yield C.record(NOMINATED_SCHEMA, **dict(zip(NOMINATED_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)))
 
 
-HITS = pa.schema([("doc", pa.int64()), ("pos", pa.int64())])
+HITS = pa.schema([("doc", pa.int64()), ("pos", pa.int32())])
 
 
 def repeated(table: pa.Table, rule: Rule) -> pa.Table:
@@ -189,7 +189,7 @@ def repeated(table: pa.Table, rule: Rule) -> pa.Table:
     else:
         many = n > 1
     hit = order[np.repeat(many, n)]
-    return pa.table({"doc": np.concatenate((doc[hit], *swell(col("hit_doc")))), "pos": np.concatenate((pos[hit], *swell(col("hit_pos"))))}, schema=HITS)
+    return pa.table({"doc": np.concatenate((doc[hit], *swell(col("hit_doc")))), "pos": np.concatenate((pos[hit], *swell(col("hit_pos")))).astype(np.int32)}, schema=HITS)
 
 
 # ---------------------------------------------------------------- 2. stretches
@@ -270,7 +270,7 @@ def stretch(batches, rule: Rule, n_parts: int):
         yield C.record(STRETCHED, kind=["text"] * len(docs), doc_id=some.column("doc_id"), slot=slots, text=C.as_binary(some.column("text")))
         text = Text(some, rule)
         lists = some.column("hits")
-        pos = lists.flatten().to_numpy() + np.repeat(text.starts[:-1], lists.value_lengths().to_numpy())
+        pos = lists.flatten().to_numpy().astype(np.int64) + np.repeat(text.starts[:-1], lists.value_lengths().to_numpy())
         hit = np.zeros(text.n + 1, bool)
         hit[np.minimum(pos, text.n)] = True
         found = find_stretches(text, hit)
@@ -291,8 +291,8 @@ def entries(kind, key, name, doc, slot, pos, n, odd, rule: Rule, n_parts: int):
     first[order] = np.repeat(order[cut[:-1]], np.diff(cut))
     gone = doc > doc[first] if rule.across else first != np.arange(len(name))
     i = np.flatnonzero(gone)
-    if len(i):
-        yield C.record(STRETCHED, kind=["gone"], pos=[squeeze(pos[i])], n=[squeeze(n[i])], slots=[squeeze(slot[i])])
+    if len(i):  # goes to any part, as entries without a name
+        yield C.record(STRETCHED, kind=[kind], part=[int(key[i[0]] % U64(n_parts))], key=[b""], name=[b""], doc=[b""], slots=[squeeze(slot[i])], pos=[squeeze(pos[i])], n=[squeeze(n[i])], odd=[b""])
     i = np.flatnonzero(~gone)
     key, name, doc, slot, pos, n, odd = (x[i] for x in (key, name, doc, slot, pos, n, odd))
     rows = [(p, key[j].tobytes(), name[j].tobytes(), squeeze(doc[j]), squeeze(slot[j]), squeeze(pos[j]), squeeze(n[j]), squeeze(odd[j])) for p, j in C.by_part(C.spread(key, n_parts), n_parts)]
@@ -301,12 +301,28 @@ def entries(kind, key, name, doc, slot, pos, n, odd, rule: Rule, n_parts: int):
         yield C.record(STRETCHED, kind=[kind] * len(rows), **cols)
 
 
-RUNS = pa.schema([("slot", pa.int64()), ("pos", pa.int64()), ("n", pa.int64()), ("open", pa.bool_())])
-RUNS_DDL = "slot long, pos long, n long, open boolean"
+RUNS = pa.schema([("slot", pa.int64()), ("run", pa.int64()), ("open", pa.bool_())])
+RUNS_DDL = "slot long, run long, open boolean"
+
+
+def as_run(pos: np.ndarray, n: np.ndarray, rule: Rule) -> np.ndarray:
+    """A run of windows as one number."""
+    return pos * (rule.places + 1) + n
+
+
+def of_run(run: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    return run // (rule.places + 1), run % (rule.places + 1)
 
 
 def judge(table: pa.Table, rule: Rule) -> pa.Table:
-    """Of the part's entries: those that repeat an earlier one, and those left open."""
+    """Of the part's entries: those that repeat an earlier one, and those left open; and what chunks sent as
+    removed."""
+    named = pa.compute.greater(pa.compute.binary_length(table.column("key")), 0)
+    before, table = table.filter(pa.compute.invert(named)), table.filter(named)
+    known = [np.concatenate(swell(before.column(c).to_pylist())) for c in ("slots", "pos", "n")]
+    removed = pa.table({"slot": known[0], "run": as_run(known[1], known[2], rule), "open": np.zeros(len(known[0]), bool)}, schema=RUNS)
+    if not table.num_rows:
+        return removed
     col = lambda c: table.column(c).to_pylist()
     key, name = (np.concatenate([np.frombuffer(b, np.uint64) for b in col(c)]) for c in ("key", "name"))
     doc, slot, pos, n, odd = (np.concatenate(swell(col(c))) for c in ("doc", "slots", "pos", "n", "odd"))
@@ -322,24 +338,16 @@ def judge(table: pa.Table, rule: Rule) -> pa.Table:
     several = np.bincount(inverse[heads], minlength=len(ks)) > 1
     left = ~gone & (several[inverse] | (odd.astype(bool) & (not rule.across)))
     i = np.flatnonzero(gone | left)
-    return pa.table({"slot": slot[i], "pos": pos[i], "n": n[i], "open": left[i]}, schema=RUNS)
-
-
-def gone_rows(batches):
-    for b in batches:
-        for pos, n, slot in zip(b.column("pos").to_pylist(), b.column("n").to_pylist(), b.column("slots").to_pylist(), strict=True):
-            (p,), (m,), (s,) = swell([pos]), swell([n]), swell([slot])
-            yield C.record(RUNS, slot=s, pos=p, n=m, open=np.zeros(len(s), bool))
+    return pa.concat_tables([removed, pa.table({"slot": slot[i], "run": as_run(pos[i], n[i], rule), "open": left[i]}, schema=RUNS)])
 
 
 # ---------------------------------------------------------------- 3. windows
 
 def flags(text: Text, batch: pa.RecordBatch, column: str) -> np.ndarray:
-    """Places that lie in the runs (pos, n) of a column, among all units of the chunk."""
+    """Places that lie in the runs of a column, among all units of the chunk."""
     lists = batch.column(column)
-    runs = lists.flatten()
+    pos, n = of_run(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), text.rule)
     base = np.repeat(text.starts[:-1], pa.compute.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    pos, n = (runs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "n"))
     return covered(base + pos, n, text.n)
 
 
@@ -376,9 +384,7 @@ def removed_units(batch: pa.RecordBatch, rule: Rule):
     texts = C.as_binary(batch.column("text")).to_pylist()
     for t, runs in zip(texts, batch.column("runs").to_pylist(), strict=True):
         total = len(t.split()) if rule.unit == "word" else len(t)
-        runs = runs or []
-        pos = np.array([r["pos"] for r in runs], np.int64)
-        n = np.array([r["n"] for r in runs], np.int64)
+        pos, n = of_run(np.array(runs or [], np.int64), rule)
         yield t, covered(pos, n + rule.threshold - 1, total)
 
 
@@ -418,21 +424,18 @@ def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     n_parts = C.parts(spark)
     docs = C.only(docs, "doc_id", "text")
     sent = docs.mapInArrow(lambda b: nominate(b, rule, n_parts), NOMINATED)
-    hits = sent.groupBy("part").applyInArrow(lambda t: repeated(t, rule), "doc long, pos long")
+    hits = sent.groupBy("part").applyInArrow(lambda t: repeated(t, rule), "doc long, pos int")
     hits = hits.groupBy("doc").agg(F.collect_list("pos").alias("hits"))
     joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(hits.hint("shuffle_merge"), "doc", "left").select("doc_id", "text", "hits")
     saved = C.save(joined.mapInArrow(lambda b: stretch(b, rule, n_parts), STRETCHED_DDL), "stretches", by="kind")
     blobs = ["part", *BLOBS]
-    runs = saved.where("kind = 'stretch'").select(*blobs).groupBy("part").applyInArrow(lambda t: judge(t, rule), RUNS_DDL)
-    gone = saved.where("kind = 'gone'").select("pos", "n", "slots").mapInArrow(gone_rows, RUNS_DDL)
-    runs = C.save(runs.unionByName(gone), "runs")
+    judged = lambda df: df.groupBy("part").applyInArrow(lambda t: judge(t, rule), RUNS_DDL)
+    runs = C.save(judged(saved.where("kind = 'stretch'").select(*blobs)), "runs")
     text = saved.where("kind = 'text'").select("slot", "doc_id", "text")
-    gather = lambda df: df.groupBy("slot").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
+    gather = lambda df: df.groupBy("slot").agg(F.collect_list("run").alias("runs"))
     opened = text.join(gather(runs.where("open")).hint("shuffle_merge"), "slot").mapInArrow(lambda b: single(b, rule, n_parts), STRETCHED_DDL)
-    opened = C.save(opened, "windows", by="kind")
-    more = opened.where("kind = 'window'").select(*blobs).groupBy("part").applyInArrow(lambda t: judge(t, rule), RUNS_DDL).where("not open")
-    more_gone = opened.where("kind = 'gone'").select("pos", "n", "slots").mapInArrow(gone_rows, RUNS_DDL)
-    all_gone = gather(runs.where("not open").unionByName(more).unionByName(more_gone))
+    more = judged(opened.select(*blobs)).where("not open")
+    all_gone = gather(runs.where("not open").unionByName(more))
     cut = text.join(all_gone.hint("shuffle_merge"), "slot", "left").mapInArrow(lambda b: cut_out(b, rule, with_text), RESULT_DDL)
     done = saved.where("kind = 'done'").select("doc_id", "n_units", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "sha256", F.lit(None).cast("long").alias("crc32"), F.lit(None).cast("binary").alias("kept_text"))
     return done.unionByName(cut)
