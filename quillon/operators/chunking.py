@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 
-#: Blocks in order of search: kind, and pattern in Java's and Python's common dialect.
+#: Patterns of code and table blocks, in order of search. A dot matches line feeds too.
 CODE_BLOCKS = (r"(?s)```.*?```", r"(?s)<code>.*?</code>", r"(?s)<pre>.*?</pre>")
-TABLE_BLOCKS = (r"\|.*\|.*\n\|[-\s\|]*\|.*\n(?:\|.*\|.*\n)*", r"(?s)<table>.*?</table>")
-#: With dots that match line feeds, as the source of these rules has them.
-TABLE_BLOCKS = (r"(?s)" + TABLE_BLOCKS[0], TABLE_BLOCKS[1])
+TABLE_BLOCKS = (r"(?s)\|.*\|.*\n\|[-\s\|]*\|.*\n(?:\|.*\|.*\n)*", r"(?s)<table>.*?</table>")
 
 
 def detect_sections(df: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
