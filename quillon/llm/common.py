@@ -6,7 +6,8 @@ memory does not depend on the size of a partition. Words are ``[^\\x20\\x09-\\x0
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
+        own = tempfile.mkdtemp(prefix="quillon-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
@@ -277,7 +280,3 @@ def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def is_set(name: str) -> bool:
-    return bool(os.environ.get(name))
