@@ -41,16 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def save(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd") -> DataFrame:
+def save(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd", free: bool = False) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. ``by``: a column of
-    row kinds, each written to a folder of its own so that readers of one kind skip the others."""
-    spark = df.sparkSession
+    row kinds, each written to a folder of its own so that readers of one kind skip the others. ``free``:
+    let the driver collect its garbage afterwards, upon which Spark deletes the shuffles that led here."""
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", codec)
     if by:
         out = out.partitionBy(by)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        del df, out
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def parts(spark: SparkSession, factor: int = 4) -> int:

@@ -427,14 +427,14 @@ def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     hits = sent.groupBy("part").applyInArrow(lambda t: repeated(t, rule), "doc long, pos int")
     hits = hits.groupBy("doc").agg(F.collect_list("pos").alias("hits"))
     joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(hits.hint("shuffle_merge"), "doc", "left").select("doc_id", "text", "hits")
-    saved = C.save(joined.mapInArrow(lambda b: stretch(b, rule, n_parts), STRETCHED_DDL), "stretches", by="kind")
+    saved = C.save(joined.mapInArrow(lambda b: stretch(b, rule, n_parts), STRETCHED_DDL), "stretches", by="kind", free=True)
     blobs = ["part", *BLOBS]
     judged = lambda df: df.groupBy("part").applyInArrow(lambda t: judge(t, rule), RUNS_DDL)
-    runs = C.save(judged(saved.where("kind = 'stretch'").select(*blobs)), "runs")
+    runs = C.save(judged(saved.where("kind = 'stretch'").select(*blobs)), "runs", free=True)
     text = saved.where("kind = 'text'").select("slot", "doc_id", "text")
     gather = lambda df: df.groupBy("slot").agg(F.collect_list("run").alias("runs"))
     opened = text.join(gather(runs.where("open")).hint("shuffle_merge"), "slot").mapInArrow(lambda b: single(b, rule, n_parts), STRETCHED_DDL)
-    more = judged(opened.select(*blobs)).where("not open")
+    more = C.save(judged(opened.select(*blobs)).where("not open"), "runs", free=True)
     all_gone = gather(runs.where("not open").unionByName(more))
     cut = text.join(all_gone.hint("shuffle_merge"), "slot", "left").mapInArrow(lambda b: cut_out(b, rule, with_text), RESULT_DDL)
     done = saved.where("kind = 'done'").select("doc_id", "n_units", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "sha256", F.lit(None).cast("long").alias("crc32"), F.lit(None).cast("binary").alias("kept_text"))
