@@ -13,8 +13,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     base = tmp_path_factory.mktemp("spark")
-    session = SparkSession.builder.master("local[4]").config(map={"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.sql.warehouse.dir": str(base / "warehouse")}).getOrCreate()
+    session = SparkSession.builder.master("local[4]").config(map={"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.sql.warehouse.dir": str(base / "warehouse"), "spark.checkpoint.dir": str(base / "shared")}).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(str(base / "shared"))
     yield session
     session.stop()
