@@ -54,7 +54,7 @@ class Rule:
 
     @property
     def chunk(self) -> int:
-        return C.CHUNK_BYTES if self.unit == "word" else 3 << 20
+        return C.CHUNK_BYTES if self.unit == "word" else 3 << 19
 
 
 def squeeze(a: np.ndarray) -> bytes:
