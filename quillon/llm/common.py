@@ -109,6 +109,13 @@ def give_back() -> None:
         pass
 
 
+def tidy(table: pa.Table) -> pa.Table:
+    """The table, after what a large group took has gone back to the system."""
+    if table.nbytes > 1 << 18:
+        give_back()
+    return table
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     have = 0

@@ -29,6 +29,8 @@ from quillon.llm import common as C
 U64 = np.uint64
 Q, SEGMENT, RATE, BAND, SHORT = 8, 96, 0.08, 16, 32
 BLOCK = 1 << 20
+#: Bytes of text, and hits, handled at once.
+CHUNK, HITS = 2 << 20, 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[9:14] = 32
@@ -111,14 +113,22 @@ def regions(index: Index, low: np.ndarray, starts: np.ndarray) -> tuple[np.ndarr
     real = index.grams[g] == gram[p]
     p, row, g = p[real], row[real], g[real]
     many = index.at[g + 1] - index.at[g]
-    at = C.ragged(index.at[g], many)
-    seg, diagonal, row = index.segment[at], np.repeat(p, many) - index.place[at], np.repeat(row, many)
-    band = diagonal // BAND
-    also = diagonal - band * BAND < index.budget[seg]
-    row, seg, band = np.concatenate((row, row[also])), np.concatenate((seg, seg[also])), np.concatenate((band, band[also] - 1))
     n = len(index.size)
-    key, first, count = np.unique((band + (1 << 20)) * n + seg, return_index=True, return_counts=True)
-    # a band may reach over the end of a row: the rows of its first and last place are both tried
+    upto = np.cumsum(many)
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(HITS, upto[-1] if len(upto) else 0, HITS)), [len(p)])))
+    keys, rows, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # a bounded number of hits at a time
+        at = C.ragged(index.at[g[a:b]], many[a:b])
+        seg, diagonal = index.segment[at], np.repeat(p[a:b], many[a:b]) - index.place[at]
+        of = np.repeat(row[a:b], many[a:b])
+        band = diagonal // BAND
+        also = diagonal - band * BAND < index.budget[seg]
+        key = np.concatenate(((band + (1 << 20)) * n + seg, (band[also] - 1 + (1 << 20)) * n + seg[also]))
+        key, first, count = np.unique(key, return_index=True, return_counts=True)
+        keys.append(key), rows.append(np.concatenate((of, of[also]))[first]), counts.append(count)
+    key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    row, count = np.concatenate(rows), np.bincount(inverse, np.concatenate(counts), len(key))
+    # a band may reach over the end of a row: the rows of its first and last place are tried too
     enough = count >= index.size[key % n] + 1 - Q * (index.budget[key % n] + 1)
     key, first = key[enough], first[enough]
     seg, band = key % n, key // n - (1 << 20)
@@ -155,7 +165,7 @@ OUT_DDL = "doc_id long, item_id long, n_segments long, matched_segments long, ed
 
 def find(batches, index: Index):
     of_item = np.bincount(index.item, minlength=len(index.of_item))
-    for batch in C.chunks(batches, size=4 << 20):
+    for batch in C.chunks(batches, size=CHUNK):
         data, at = C.raw(batch.column("text"))
         low, starts, where = level(data, at)
         hits = occurrences(index, low, starts)
@@ -210,7 +220,7 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def clean(batches, index: Index):
-    for batch in C.chunks(batches, size=4 << 20):
+    for batch in C.chunks(batches, size=CHUNK):
         data, at = C.raw(batch.column("text"))
         low, starts, where = level(data, at)
         hits = occurrences(index, low, starts)

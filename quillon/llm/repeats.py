@@ -424,12 +424,12 @@ def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     n_parts = C.parts(spark)
     docs = C.only(docs, "doc_id", "text")
     sent = docs.mapInArrow(lambda b: nominate(b, rule, n_parts), NOMINATED)
-    hits = sent.groupBy("part").applyInArrow(lambda t: repeated(t, rule), "doc long, pos int")
+    hits = sent.groupBy("part").applyInArrow(lambda t: C.tidy(repeated(t, rule)), "doc long, pos int")
     hits = hits.groupBy("doc").agg(F.collect_list("pos").alias("hits"))
     joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(hits.hint("shuffle_merge"), "doc", "left").select("doc_id", "text", "hits")
     saved = C.save(joined.mapInArrow(lambda b: stretch(b, rule, n_parts), STRETCHED_DDL), "stretches", by="kind", free=True)
     blobs = ["part", *BLOBS]
-    judged = lambda df: df.groupBy("part").applyInArrow(lambda t: judge(t, rule), RUNS_DDL)
+    judged = lambda df: df.groupBy("part").applyInArrow(lambda t: C.tidy(judge(t, rule)), RUNS_DDL)
     runs = C.save(judged(saved.where("kind = 'stretch'").select(*blobs)), "runs", free=True)
     text = saved.where("kind = 'text'").select("slot", "doc_id", "text")
     gather = lambda df: df.groupBy("slot").agg(F.collect_list("run").alias("runs"))
