@@ -7,6 +7,7 @@ memory does not depend on the size of a partition. Words are ``[^\\x20\\x09-\\x0
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,22 +42,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def save(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd", free: bool = False) -> DataFrame:
+def save(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. ``by``: a column of
-    row kinds, each written to a folder of its own so that readers of one kind skip the others. ``free``:
-    let the driver collect its garbage afterwards, upon which Spark deletes the shuffles that led here."""
+    row kinds, each written to a folder of its own so that readers of one kind skip the others."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", codec)
     if by:
         out = out.partitionBy(by)
     out.parquet(path)
-    if free:
-        del df, out
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, upon which Spark deletes the shuffles of plans that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts(spark: SparkSession, factor: int = 4) -> int:
     """Number of hash parts that blobs are dealt to; follows the configured shuffle width."""
     return max(64, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -417,25 +417,43 @@ def without(text: bytes, gone: np.ndarray, rule: Rule) -> bytes:
     return data[~flag[owner]].tobytes().lstrip(b" \t\n\x0b\x0c\r") if gone[0] else data[~flag[owner]].tobytes()
 
 
+def gathered(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("slot").agg(F.collect_list("run").alias("runs"))
+
+
+def judged(entries_: DataFrame, rule: Rule) -> DataFrame:
+    return entries_.select("part", *BLOBS).groupBy("part").applyInArrow(lambda t: C.tidy(judge(t, rule)), RUNS_DDL)
+
+
+def with_stretches(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
+    """Steps 1 and 2: by kind, texts without nominated anchors (done), the others, and entries of stretches."""
+    sent = docs.mapInArrow(lambda b: nominate(b, rule, n_parts), NOMINATED)
+    hits = sent.groupBy("part").applyInArrow(lambda t: C.tidy(repeated(t, rule)), "doc long, pos int")
+    hits = hits.groupBy("doc").agg(F.collect_list("pos").alias("hits"))
+    joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(hits.hint("shuffle_merge"), "doc", "left").select("doc_id", "text", "hits")
+    return C.save(joined.mapInArrow(lambda b: stretch(b, rule, n_parts), STRETCHED_DDL), "stretches", by="kind")
+
+
+def with_windows(text: DataFrame, runs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
+    """Step 3: windows of open stretches that repeat earlier ones."""
+    opened = text.join(gathered(runs.where("open")).hint("shuffle_merge"), "slot").mapInArrow(lambda b: single(b, rule, n_parts), STRETCHED_DDL)
+    return C.save(judged(opened, rule).where("not open"), "runs")
+
+
 def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
     """Per document: units, units removed, spans, the digest of what stays, and if asked for, of those from
     which something was cut, what stays and the crc32 of the text as it was (else null)."""
     spark = docs.sparkSession
     n_parts = C.parts(spark)
     docs = C.only(docs, "doc_id", "text")
-    sent = docs.mapInArrow(lambda b: nominate(b, rule, n_parts), NOMINATED)
-    hits = sent.groupBy("part").applyInArrow(lambda t: C.tidy(repeated(t, rule)), "doc long, pos int")
-    hits = hits.groupBy("doc").agg(F.collect_list("pos").alias("hits"))
-    joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(hits.hint("shuffle_merge"), "doc", "left").select("doc_id", "text", "hits")
-    saved = C.save(joined.mapInArrow(lambda b: stretch(b, rule, n_parts), STRETCHED_DDL), "stretches", by="kind", free=True)
-    blobs = ["part", *BLOBS]
-    judged = lambda df: df.groupBy("part").applyInArrow(lambda t: C.tidy(judge(t, rule)), RUNS_DDL)
-    runs = C.save(judged(saved.where("kind = 'stretch'").select(*blobs)), "runs", free=True)
+    saved = with_stretches(docs, rule, n_parts)
+    C.free(spark)
+    runs = C.save(judged(saved.where("kind = 'stretch'"), rule), "runs")
+    C.free(spark)
     text = saved.where("kind = 'text'").select("slot", "doc_id", "text")
-    gather = lambda df: df.groupBy("slot").agg(F.collect_list("run").alias("runs"))
-    opened = text.join(gather(runs.where("open")).hint("shuffle_merge"), "slot").mapInArrow(lambda b: single(b, rule, n_parts), STRETCHED_DDL)
-    more = C.save(judged(opened.select(*blobs)).where("not open"), "runs", free=True)
-    all_gone = gather(runs.where("not open").unionByName(more))
+    more = with_windows(text, runs, rule, n_parts)
+    C.free(spark)
+    all_gone = gathered(runs.where("not open").unionByName(more))
     cut = text.join(all_gone.hint("shuffle_merge"), "slot", "left").mapInArrow(lambda b: cut_out(b, rule, with_text), RESULT_DDL)
     done = saved.where("kind = 'done'").select("doc_id", "n_units", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "sha256", F.lit(None).cast("long").alias("crc32"), F.lit(None).cast("binary").alias("kept_text"))
     return done.unionByName(cut)
