@@ -43,7 +43,7 @@ CUTS = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z\u00df-\u00f6\u00
 #: Parts that may be encoded many at once, with a line feed (one id of its own) between them.
 JOINED = re.compile(r" ?\S+").fullmatch
 #: Most parts that a worker remembers; beyond, it starts anew. A bound of memory, without effect on results.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_150_000
 
 
 class Memo:
