@@ -176,11 +176,11 @@ def cut(totals: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return row, piece, start, np.where(piece > 0, size, first[row])
 
 
-def pieces(batches, tokenizer: str, end: int, size: int):
+def pieces(batches, tokenizer: str, end: int, size: int, remember: int = T.REMEMBERED):
     task = TaskContext.get()
     chunk = (task.partitionId() if task else 0) << 24
     for batch in C.chunks(batches, size=T.CHUNK, owner="tokens"):
-        ids, starts = T.encode(batch.column("text"), tokenizer, end)
+        ids, starts = T.encode(batch.column("text"), tokenizer, end, remember)
         row, piece, start, length = cut(np.diff(starts), size)
         at = starts[row] + start
         wide = ids.astype("<u4")
@@ -200,9 +200,10 @@ def place(batches, of: dict[str, np.ndarray], most: int):
         yield C.record(PLACED, sequence_id=of["sequence"][i] + rank - of["rank"][i], offset=of["offset"][i], **{c: b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")})
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = T.END, size: int = SIZE) -> DataFrame:
-    """Each piece of each document with its sequence and its place there."""
-    cut_up = C.only(docs, "doc_id", "text").mapInArrow(lambda b: pieces(b, tokenizer, end, size), "chunk long, doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = T.END, size: int = SIZE, remember: int = T.REMEMBERED) -> DataFrame:
+    """Each piece of each document with its sequence and its place there. remember: most pieces of text whose
+    encodings a worker keeps, which bounds its memory."""
+    cut_up = C.only(docs, "doc_id", "text").mapInArrow(lambda b: pieces(b, tokenizer, end, size, remember), "chunk long, doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
     cut_up = C.save(cut_up, "pieces")
     by_chunk = C.save(cut_up.groupBy("length", "chunk").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows

@@ -115,18 +115,18 @@ class Memo:
 _memos: dict[str, Memo] = {}
 
 
-def memo(name: str) -> Memo:
+def memo(name: str, most: int = REMEMBERED) -> Memo:
     C.remember("tokens", _memos.clear)
     found = _memos[name] if name in _memos else _memos.setdefault(name, Memo(tokenizer(name)))
-    if len(found.index) > REMEMBERED:
+    if len(found.index) > most:
         found.forget()
     return found
 
 
-def encode(texts: pa.Array, name: str, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, name: str, end: int | None = END, remember: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end (each followed by ``end``, if given), and the start of each text's ids
     with the total last. Null counts as empty."""
-    tok, known = tokenizer(name), memo(name)
+    tok, known = tokenizer(name), memo(name, remember)
     col = C.as_binary(texts).cast(pa.string())
     n = len(col)
     loose = pc.match_substring_regex(col, LOOSE).to_numpy(zero_copy_only=False)
