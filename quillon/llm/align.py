@@ -28,6 +28,7 @@ def edits(pattern: np.ndarray, size: np.ndarray, text: np.ndarray, width: int) -
     score = np.zeros((n, width), np.int32)
     begin = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
     best, first, last = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+    column = np.arange(width, dtype=np.int32)
     for i in range(1, longest + 1):
         same = score + (pattern[:, i - 1 : i] != text[:, i - 1 : i - 1 + width])
         skip = np.full((n, width), 1 << 20, np.int32)
@@ -36,7 +37,9 @@ def edits(pattern: np.ndarray, size: np.ndarray, text: np.ndarray, width: int) -
         from_skip[:, :-1] = begin[:, 1:]
         take = skip < same
         score, begin = np.where(take, skip, same), np.where(take, from_skip, begin)
-        along(np.less, score, 1, begin)
+        # text items inserted, in one sweep: of the cells before, the last of those that cost least from here
+        least = np.minimum.accumulate((score - column) * width + (width - 1 - column), axis=1)
+        score, begin = least // width + column, np.take_along_axis(begin, width - 1 - least % width, axis=1)
         done = np.flatnonzero(size == i)
         if len(done):
             d = score[done].argmin(axis=1)

@@ -3,8 +3,11 @@
 A segment of m bytes that occurs in a text with at most k edits shares at least m + 1 - q (k + 1) of its
 q-grams with the place, all on diagonals (text place less segment place) at most k apart. Shared q-grams are
 counted in diagonal bands that overlap by k, so that one band holds all of an occurrence; bands with enough
-are aligned in full. Items are cut into segments, so an item that is quoted in part is found by the part.
-Letters A-Z and runs of white space are levelled first; spans refer to the bytes of the text as it is.
+are aligned in full. Items are cut into segments side by side and, so that a part quoted from anywhere holds
+a whole one, into windows of ``WINDOW`` bytes every ``STRIDE``: a part quoted word for word is sure to be found
+from WINDOW + STRIDE - 1 levelled bytes (63) on. What is found is carried on to both sides as far as text and
+item agree, so all of such a part is reported and cut; a segment that fits with edits may take a few bytes beside
+the part along. Letters A-Z and runs of white space are levelled first; spans refer to the bytes of the text as it is.
 
 Items are a small table: they are read in blocks of bounded size, each block indexed and sent to the tasks,
 and for each block there is one pass over the documents. Documents are never shuffled.
@@ -28,6 +31,9 @@ from quillon.llm import common as C
 
 U64 = np.uint64
 Q, SEGMENT, RATE, BAND, SHORT = 8, 96, 0.08, 16, 32
+WINDOW, STRIDE = 48, 16
+#: Bytes that a match may be carried on by to each side, and what a byte that differs costs (one that agrees gives 1).
+REACH, DIFFERS = 64, 4
 BLOCK = 1 << 20
 #: Bytes of text, and hits, handled at once.
 CHUNK, HITS = 2 << 20, 1 << 19
@@ -55,6 +61,11 @@ class Index:
     item: np.ndarray
     of_item: np.ndarray
     segments: np.ndarray
+    #: Items end to end, levelled; where the item of each segment begins and ends in them, and the segment begins.
+    whole: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    begin: np.ndarray
     size: np.ndarray
     budget: np.ndarray
     grams: np.ndarray
@@ -65,7 +76,7 @@ class Index:
 
     @classmethod
     def of(cls, items: list[tuple[int | None, str | None]], rate: float = RATE) -> Index:
-        pieces, item = [], []
+        pieces, item, whole, place, total = [], [], [], [], 0
         for no, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             low = level(raw, np.array([0, len(raw)]))[0].tobytes().strip()
@@ -74,10 +85,18 @@ class Index:
             cuts = list(range(0, len(low), SEGMENT))
             if len(cuts) > 1 and len(low) - cuts[-1] < SEGMENT // 2:
                 cuts.pop()
-            for a, b in zip(cuts, [*cuts[1:], len(low)], strict=True):
+            spans = set(zip(cuts, [*cuts[1:], len(low)], strict=True))
+            if len(low) > WINDOW:
+                spans |= {(a, a + WINDOW) for a in [*range(0, len(low) - WINDOW, STRIDE), len(low) - WINDOW]}
+            for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
                 if b - a >= Q:
                     pieces.append(low[a:b])
                     item.append(no)
+                    place.append((total, total + len(low), total + a))
+            whole.append(np.frombuffer(low, np.uint8))
+            total += len(low)
+        head, tail, begin = np.array(place, np.int64).reshape(-1, 3).T
+        whole = np.concatenate([*whole, np.zeros(0, np.uint8)])
         size = np.array([len(p) for p in pieces], np.int64)
         budget = np.where(size < SHORT, 0, np.floor(size * rate)).astype(np.int64)
         segments = np.zeros((len(pieces), int(size.max()) if len(pieces) else 0), np.uint8)
@@ -92,7 +111,7 @@ class Index:
         order, cut = C.grouped(gram)
         seen = np.zeros(1 << 20, bool)
         seen[bucket(gram)] = True
-        return cls(np.array(item, np.int64), np.array([i for i, _ in items], object), segments, size, budget, gram[order[cut[:-1]]], cut, seg[order], place[order], seen)
+        return cls(np.array(item, np.int64), np.array([i for i, _ in items], object), segments, whole, head, tail, begin, size, budget, gram[order[cut[:-1]]], cut, seg[order], place[order], seen)
 
 
 def bucket(gram: np.ndarray) -> np.ndarray:
@@ -139,14 +158,29 @@ def regions(index: Index, low: np.ndarray, starts: np.ndarray) -> tuple[np.ndarr
     return found[:, 0], found[:, 1], found[:, 2] * BAND
 
 
+def carried(index: Index, low: np.ndarray, at: np.ndarray, text_end: np.ndarray, place: np.ndarray, item_end: np.ndarray, way: int) -> np.ndarray:
+    """How many bytes from these places on, rightward (way 1) or leftward (-1), text and item agree best."""
+    if not len(at):
+        return np.empty(0, np.int64)
+    j = np.arange(REACH) * way
+    t, i = at[:, None] + j, place[:, None] + j
+    inside = (t - text_end[:, None]) * way < 0
+    inside &= (i - item_end[:, None]) * way < 0
+    same = low[np.clip(t, 0, len(low) - 1)] == index.whole[np.clip(i, 0, len(index.whole) - 1)]
+    score = np.cumsum(np.where(inside, np.where(same, 1, -DIFFERS), -DIFFERS * REACH), axis=1)
+    return np.where(score.max(axis=1) > 0, score.argmax(axis=1) + 1, 0)
+
+
 def occurrences(index: Index, low: np.ndarray, starts: np.ndarray, step: int = 4096):
-    """Verified occurrences: row, segment, edits, first and last levelled place (end excluded)."""
+    """Verified occurrences: row, segment, edits, first and last levelled place (end excluded), carried on to both sides."""
     row, seg, diagonal = regions(index, low, starts)
     out = [np.empty((0, 5), np.int64)]
-    most = int(index.budget.max()) if len(index.budget) else 0
-    width = BAND + 3 * most + 1
+    by_size = np.argsort(index.size[seg], kind="stable")
+    row, seg, diagonal = row[by_size], seg[by_size], diagonal[by_size]
     for i in range(0, len(row), step):
-        r, s, d = row[i : i + step], seg[i : i + step], diagonal[i : i + step] - most
+        r, s = row[i : i + step], seg[i : i + step]
+        most = int(index.budget[s].max())
+        width, d = BAND + 3 * most + 1, diagonal[i : i + step] - most
         longest = int(index.size[s].max())
         at = d[:, None] + np.arange(longest + width)
         inside = (at >= starts[r][:, None]) & (at < starts[r + 1][:, None])
@@ -155,10 +189,22 @@ def occurrences(index: Index, low: np.ndarray, starts: np.ndarray, step: int = 4
         good = cost <= index.budget[s]
         first, last = np.maximum(d + first, starts[r]), np.minimum(d + last, starts[r + 1])
         good &= last > first
-        out.append(np.stack((r, s, cost, first, last), axis=1)[good])
+        r, s, cost, first, last = (x[good] for x in (r, s, cost, first, last))
+        first = first - carried(index, low, first - 1, starts[r] - 1, index.begin[s] - 1, index.head[s] - 1, -1)
+        last = last + carried(index, low, last, starts[r + 1], index.begin[s] + index.size[s], index.tail[s], 1)
+        out.append(np.stack((r, s, cost, first, last), axis=1))
     return np.concatenate(out)
 
 
+def apart(index: Index, new: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """Of segments in order of place, by item of a row (new where one begins), those that don't overlap one chosen before."""
+    chosen, end = np.zeros(len(seg), bool), 0
+    for i, (n, a, b) in enumerate(zip(new.tolist(), index.begin[seg].tolist(), (index.begin[seg] + index.size[seg]).tolist(), strict=True)):
+        if n or a >= end:
+            chosen[i], end = True, b
+    return chosen
+
+
 OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_segments", pa.int64()), ("matched_segments", pa.int64()), ("edits", pa.int64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 OUT_DDL = "doc_id long, item_id long, n_segments long, matched_segments long, edits long, start_byte long, end_byte long"
 
@@ -181,7 +227,7 @@ def find(batches, index: Index):
         once = new.copy()
         once[1:] |= seg[1:] != seg[:-1]
         cut = np.flatnonzero(new)
-        yield C.record(OUT, doc_id=batch.column("doc_id").take(pa.array(row[cut])), item_id=index.of_item[item[cut]].tolist(), n_segments=of_item[item[cut]], matched_segments=np.add.reduceat(once.astype(np.int64), cut), edits=np.add.reduceat(np.where(once, cost, 0), cut), start_byte=np.minimum.reduceat(begin, cut), end_byte=np.maximum.reduceat(end, cut))
+        yield C.record(OUT, doc_id=batch.column("doc_id").take(pa.array(row[cut])), item_id=index.of_item[item[cut]].tolist(), n_segments=of_item[item[cut]], matched_segments=np.add.reduceat(once.astype(np.int64), cut), edits=np.add.reduceat(np.where(apart(index, new, seg), cost, 0), cut), start_byte=np.minimum.reduceat(begin, cut), end_byte=np.maximum.reduceat(end, cut))
 
 
 def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Index]:
@@ -197,8 +243,8 @@ def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Index]:
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of each item that occurs in a document, with how many of its segments do, the edits
-    in these, and the bytes from the first to the last."""
+    """(doc_id, item_id) of each item that occurs in a document, with how many of its segments and windows do, the
+    edits in those of them that lie side by side, and the bytes from the first to the last."""
     docs = C.only(docs, "doc_id", "text")
     found = docs.sparkSession.createDataFrame([], OUT_DDL)
     for index in blocks(items):

@@ -1,5 +1,6 @@
 """Cases of a review of the first round, each of which failed before."""
 
+import random
 import re
 
 import corpus_pipeline as P
@@ -7,9 +8,10 @@ import pytest
 import zstandard
 
 from quillon.llm import common as C
-from quillon.llm import quality
+from quillon.llm import decontam, quality
 
 from . import brute
+from .test_operators import frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,17 @@ def test_stages_after_bands(spark):
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not [t for t in clean.values() for i in items if re.sub(r"\s+", " ", i) in re.sub(r"\s+", " ", t)]
     assert {r["doc_id"] for r in stages["packing"](spark, docs, SF).collect()} == set(clean)
+
+
+def test_partial_quotes_are_found_and_cut(spark):
+    """Any part of 63 bytes of an item, wherever it begins, and all of it goes."""
+    rng = random.Random(7)
+    item = "".join(rng.choice("abcdefghijklm") for _ in range(230))
+    n = 63
+    rows = [(a, f"<{item[a : a + n].upper()}>") for a in range(len(item) - n + 1)]
+    rows += [(1000 + k, f"<{item[10 : 10 + k]}>") for k in range(n, 200, 7)]
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontam.leaks(frame(spark, rows), table).collect()}
+    assert set(found) == {d for d, _ in rows}
+    assert all(found[d]["start_byte"] <= 1 and found[d]["end_byte"] >= len(t) - 1 for d, t in rows)
+    assert {r["text"] for r in decontam.decontaminate(frame(spark, rows), table).collect()} <= {"<>", "<", ">"}
