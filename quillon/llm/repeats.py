@@ -280,16 +280,28 @@ def stretch(batches, rule: Rule, n_parts: int):
         row = np.searchsorted(text.starts, lo, side="right") - 1
         pos = lo - text.starts[row]
         doc, slot = docs[row], slots[row]
-        yield from entries("stretch", key, name, doc, slot, pos, n, odd, rule, n_parts)
+        yield from entries("stretch", key, name, doc, slot, pos, n, odd, twins(some, docs)[row], rule, n_parts)
 
 
-def entries(kind, key, name, doc, slot, pos, n, odd, rule: Rule, n_parts: int):
+def twins(batch: pa.RecordBatch, docs: np.ndarray) -> np.ndarray:
+    """Of each row, in order of doc_id, the first row of the same doc_id and text."""
+    twin = np.arange(len(docs))
+    again = np.flatnonzero(docs[1:] == docs[:-1])
+    if len(again):
+        seen: dict[tuple[int, bytes], int] = {}
+        texts = C.as_binary(batch.column("text"))
+        for i in np.union1d(again, again + 1).tolist():
+            twin[i] = seen.setdefault((int(docs[i]), texts[i].as_py()), i)
+    return twin
+
+
+def entries(kind, key, name, doc, slot, pos, n, odd, twin, rule: Rule, n_parts: int):
     """Within the chunk, the first of equal names goes to its part (with the others of its doc_id, if
-    only repeats across count); the others are removed here."""
+    only repeats across count, or else with its like in equal rows); the others are removed here."""
     order, cut = C.grouped(name)
     first = np.empty(len(name), np.int64)
     first[order] = np.repeat(order[cut[:-1]], np.diff(cut))
-    gone = doc > doc[first] if rule.across else first != np.arange(len(name))
+    gone = doc > doc[first] if rule.across else (first != np.arange(len(name))) & ((twin != twin[first]) | (pos != pos[first]))
     i = np.flatnonzero(gone)
     if len(i):  # goes to any part, as entries without a name
         yield C.record(STRETCHED, kind=[kind], part=[int(key[i[0]] % U64(n_parts))], key=[b""], name=[b""], doc=[b""], slots=[squeeze(slot[i])], pos=[squeeze(pos[i])], n=[squeeze(n[i])], odd=[b""])
@@ -370,7 +382,7 @@ def single(batches, rule: Rule, n_parts: int):
         row = np.searchsorted(text.starts, at, side="right") - 1
         slot = batch.column("slot").to_numpy()[row]
         ones = np.ones(len(at), np.int64)
-        yield from entries("window", name, name, docs[row], slot, at - text.starts[row], ones, ones * 0, rule, n_parts)
+        yield from entries("window", name, name, docs[row], slot, at - text.starts[row], ones, ones * 0, twins(batch, docs)[row], rule, n_parts)
 
 
 # ---------------------------------------------------------------- result

@@ -8,7 +8,7 @@ import pytest
 import zstandard
 
 from quillon.llm import common as C
-from quillon.llm import decontam, quality
+from quillon.llm import decontam, quality, repeats
 
 from . import brute
 from .test_operators import frame
@@ -67,3 +67,15 @@ def test_partial_quotes_are_found_and_cut(spark):
     assert set(found) == {d for d, _ in rows}
     assert all(found[d]["start_byte"] <= 1 and found[d]["end_byte"] >= len(t) - 1 for d, t in rows)
     assert {r["text"] for r in decontam.decontaminate(frame(spark, rows), table).collect()} <= {"<>", "<", ">"}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_equal_rows_keep_their_text(spark, parts):
+    """In one chunk or in several, equal rows get the same result, and a repeat within them goes from both."""
+    words = [f"p{i}" for i in range(30)]
+    twice = " ".join([*words, "and", *words])
+    rows = [(4, twice), (4, twice), (None, "q " + " ".join(f"n{i}" for i in range(40))), (None, "q " + " ".join(f"n{i}" for i in range(40))), (9, " ".join(words))]
+    got = repeats.cut_repeats(frame(spark, rows, parts)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("4", " ".join([*words, "and"]))] * 2 + [("None", rows[2][1])] * 2)
+    found = repeats.substring_dedup(frame(spark, rows, parts)).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in found) == [("4", 30), ("4", 30), ("9", 30), ("None", 0), ("None", 0)]
