@@ -54,6 +54,48 @@ def save(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd") -
     return spark.read.schema(schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are deleted when the work they served is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def path(self, name: str) -> str:
+        self.paths.append(f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        """Cut lineage, as ``save`` does."""
+        schema, path = df.schema, self.path(name)
+        df.write.option("compression", codec).parquet(path)
+        free(self.spark)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def deal(self, df: DataFrame, by: str, name: str) -> DataFrame:
+        """Write rows bucketed by a column, so that later joins on it leave them in place."""
+        n, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+        df.repartition(n, by).write.bucketBy(n, by).option("path", self.path(name)).option("compression", "none").saveAsTable(table)
+        self.tables.append(table)
+        free(self.spark)
+        return self.spark.table(table)
+
+    def __exit__(self, *_) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for path in self.paths:
+            drop(self.spark, path)
+        free(self.spark)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def free(spark: SparkSession) -> None:
     """Let the driver collect its garbage, upon which Spark deletes the shuffles of plans that are gone."""
     gc.collect()
@@ -171,18 +213,15 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def eights(data: np.ndarray) -> np.ndarray:
     """Of each byte, it and the seven after it as one number (zeros past the end)."""
-    padded = np.concatenate((data, np.zeros(16, np.uint8))).tobytes()
-    out = np.zeros(len(data), np.uint64)
-    for j in range(min(8, len(data))):
-        part = np.frombuffer(padded, "<u8", offset=j, count=(len(padded) - j) // 8)
-        out[j::8] = part[: len(out[j::8])]
-    return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data), "<u8", padded, 0, (1,)).copy()
 
 
 class Words:
-    """Words of a run of rows: ``hashes`` of all words end to end, ``starts`` of each row among them."""
+    """Words of a run of rows: ``hashes`` of all words end to end (with wide, ``others`` too, together 128 bits),
+    ``starts`` of each row among them."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, wide: bool = False):
         col = as_binary(texts).cast(pa.string()) if not lower else pc.ascii_lower(as_binary(texts).cast(pa.string()))
         lists = pc.ascii_split_whitespace(col)
         flat = lists.values if lists.offset == 0 else lists.flatten()
@@ -190,10 +229,16 @@ class Words:
         at = at - at[0]
         real = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
         coded = flat.dictionary_encode()
-        of_word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        if wide:
+            of_word, of_word2 = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2).T
+        else:
+            of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
         codes = coded.indices.to_numpy(zero_copy_only=False)[real]
         self.codes, self.dictionary = codes, coded.dictionary
         self.hashes = of_word[codes] if len(codes) else np.empty(0, np.uint64)
+        if wide:
+            self.others = of_word2[codes] if len(codes) else self.hashes
         before = np.concatenate(([0], np.cumsum(real)))
         self.starts = before[at]
         self.counts = np.diff(self.starts)
@@ -285,8 +330,9 @@ def record(schema: pa.Schema, **cols) -> pa.RecordBatch:
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and nothing else: extra columns, whatever their names, are of no concern."""
-    return df.select(*(F.col(f"`{c}`") for c in columns))
+    """The named columns and nothing else: extra columns, whatever their names (TEXT beside text), are of no concern."""
+    names = df.columns
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).select(*(F.col(f"c{names.index(c)}").alias(c) for c in columns))
 
 
 def vocabulary(name: str) -> str:

@@ -1,43 +1,45 @@
-"""Removal of passages that repeat across a corpus, found by sparse doubling of names.
-
-A *window* is ``threshold`` consecutive units (words or bytes) of one text. All windows of equal content
-have to meet, but only few positions of a text need to travel:
-
-1. *Anchors.* Runs of ``start`` units are named by doubling. In each window the runs of least name are its
-   anchors; equal windows have equal anchors at equal places, so a window can repeat only if its anchor
-   does. Spark deals anchor names to parts, which sort them and drop those that are unique.
-2. *Stretches.* Texts with a repeated anchor are named at growing lengths (``start``, twice that, ... up to
-   the threshold). Consecutive windows with one anchor form a stretch, named by the pair of names of its
-   first and last window and the offset between them. Parts sort the names of the stretches of an anchor:
-   of equal stretches all but the first are removed. If an anchor has but one stretch, all is decided.
-3. *Windows.* For anchors with several stretches (ends of repeated passages, periodic text) the names of
-   single windows, one of each stretch, are sorted the same way.
-
-Before anything is dealt out, a chunk keeps just the first of equal names, so a passage in a third of all
-texts sends one entry for each chunk, not one for each text. Names are 64-bit hashes; in the first step
-40 bits suffice, as it only nominates.
-
-Two uses differ in what counts as earlier: ``across`` texts only (a smaller doc_id; bytes) or any earlier
-place (smaller doc_id, or the same text; words).
+"""Removal of passages that repeat across a corpus, by doubling of names that Spark sorts.
+
+A *window* is ``threshold`` consecutive units (words or bytes) of one text. All windows of equal content have to
+meet, but only few places of a text have to travel. Of the runs of ``start`` units in a window the one of least
+hash, the leftmost of equals, is its *anchor*; equal windows have equal anchors at equal places. Levels:
+
+1. *Anchors.* Spark sorts (name of the anchor's run, chunk) and drops names of one chunk that stand there once.
+2. *Stretches.* Consecutive windows with one anchor are a stretch. Of those whose anchor is left, Spark sorts the
+   pair (name of the first window, name of the last) under the anchor's name: of equal stretches all but the first
+   are removed. If all stretches of an anchor are equal, all its windows are decided.
+3. *Windows.* Of the others, Spark sorts the windows by themselves (two names, each of the whole window).
+
+Each level sees only what was not unique at the one before, with a name twice as long or more. Names of the last two
+levels are 128 bits; the first only nominates. A chunk sends one row for a name however often it stands there, so a
+passage in a third of all texts sends a row for each chunk.
+
+Texts are dealt once: chunks of whole documents, compressed, in a table bucketed by chunk, with which each level's
+verdicts are joined in place. Tables of a level go when the next one is written.
+
+Two uses differ in what counts as earlier: ``across`` texts only (a smaller doc_id; bytes) or any earlier place
+(smaller doc_id, or the same doc_id and an earlier start; words).
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import common as C
 
 U64 = np.uint64
 LAST = np.iinfo(np.int64).max  # stands for a doc_id that is null: such documents come last
+#: Seeds of the two names of a window, and an anchor that is none.
+SEEDS, NONE = (C.MIX1, C.MIX2), np.iinfo(np.uint32).max
 
 
 @dataclass(frozen=True)
@@ -74,342 +76,242 @@ def swell(blobs) -> list[np.ndarray]:
     return out or [np.empty(0, np.int64)]
 
 
-class Text:
-    """Names and places of a chunk's texts. Rows must be in order of doc_id."""
+# ---------------------------------------------------------------- chunks
+
+def packed(batches, rule: Rule):
+    """Chunks of whole rows, each one compressed image."""
+    task = TaskContext.get()
+    chunk = (task.partitionId() if task else 0) << 32
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in C.chunks(batches, size=rule.chunk):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()])], names=["chunk", "image"])
+        chunk += 1
+
+
+def opened(batches, column: str | None = None) -> Iterator[tuple[int, pa.RecordBatch, object]]:
+    """Chunk, its rows, and what the column says of it."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            with pa.ipc.open_stream(batch.column("image")[i].as_buffer()) as rows:
+                yield batch.column("chunk")[i].as_py(), rows.read_next_batch(), batch.column(column)[i] if column else None
+            C.give_back()
+
+
+def listed(value, kind) -> np.ndarray:
+    """A list of the join as an array; none of a null."""
+    return value.values.to_numpy(zero_copy_only=False).astype(kind) if value.is_valid else np.empty(0, kind)
+
+
+class Units:
+    """Units of a chunk's texts, end to end."""
 
     def __init__(self, batch: pa.RecordBatch, rule: Rule):
         self.rule = rule
         if rule.unit == "word":
-            words = C.Words(batch.column("text"))
-            self.starts, unit = words.starts, words.hashes
-            self.run = C.windows(unit, rule.start)
+            words = C.Words(batch.column("text"), wide=True)
+            self.starts, self.unit, self.step = words.starts, (words.hashes, words.others), 1
         else:
             data, self.starts = C.raw(batch.column("text"))
             eight = C.eights(data)
-            self.run = C.mix(joined(eight, rule.start))
-        self.counts = np.diff(self.starts)
+            self.unit, self.step = (eight, eight), 8
         self.n = int(self.starts[-1])
-
-    def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
-
-    def valid(self) -> np.ndarray:
-        """Places where a window starts."""
-        ok = np.zeros(self.n + 1, np.int8)
-        first = self.starts[:-1][self.counts >= self.rule.threshold]
-        last = self.starts[1:][self.counts >= self.rule.threshold] - self.rule.threshold + 1
-        np.add.at(ok, first, 1)
-        np.add.at(ok, last, -1)
-        return np.cumsum(ok[:-1], dtype=np.int8).astype(bool)
-
-    def least(self) -> np.ndarray:
-        """Of each place, the least name of a run in the window that starts there."""
-        return C.sliding(self.run, self.rule.places, np.minimum, U64(0xFFFFFFFFFFFFFFFF))
-
-    def anchors(self, valid: np.ndarray, least: np.ndarray) -> np.ndarray:
-        most = C.sliding(np.where(valid, least, U64(0))[::-1], self.rule.places, np.maximum, U64(0))[::-1]
-        near = C.sliding(valid[::-1], self.rule.places, np.logical_or, False)[::-1]
-        return np.flatnonzero(near & (most == self.run))
-
-    def names(self) -> np.ndarray:
-        """Of each place, the name of the window: doubled from the runs."""
-        names, size = self.run, self.rule.start
-        while size < self.rule.threshold:
-            step = min(size, self.rule.threshold - size)
-            names = C.pair(names, np.concatenate((names[step:], np.zeros(min(step, len(names)), np.uint64))))
+        self.docs = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def offsets(self, size: int) -> list[int]:
+        """Where units start that together cover a run."""
+        own = list(range(0, size - self.step + 1, self.step))
+        return own if own[-1] + self.step == size else [*own, size - self.step]
+
+    def names(self, at: np.ndarray, size: int, which: int) -> np.ndarray:
+        """Names of the runs of ``size`` units at these places."""
+        seed, unit = SEEDS[which], self.unit[which]
+        name = np.full(len(at), seed, np.uint64)
+        for o in self.offsets(size):
+            name = C.mix((name ^ unit[at + o]) * C.GOLD + seed)
+        return name
+
+    def anchors(self) -> np.ndarray:
+        """Of each place where a window starts, the place of its anchor; NONE of others."""
+        rule, n = self.rule, self.n
+        mixed = self.unit[0] * C.MIX1
+        mixed ^= mixed >> U64(32)
+        order = mixed.copy()
+        for i, o in enumerate(self.offsets(rule.start)[1:]):
+            order[: n - o] += mixed[o:] * U64(2 * i + 3)
+        order *= C.GOLD
+        order &= U64(0xFFFFFFFF00000000)
+        order |= np.arange(n, dtype=np.uint64)
+        size = 1
+        while size < rule.places and size < n:
+            step = min(size, rule.places - size, n)
+            order[: n - step] = np.minimum(order[: n - step], order[step:])
             size += step
-        return names
-
-
-def joined(eight: np.ndarray, size: int) -> np.ndarray:
-    """Names of runs of ``size`` bytes, from those of 8 bytes, by doubling."""
-    names, have = eight, 8
-    while have < size:
-        step = min(have, size - have)
-        names = C.pair(names, np.concatenate((names[step:], np.zeros(min(step, len(names)), np.uint64))))
-        have += step
-    return names
-
-
-def in_order(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Rows by doc_id, and the doc_ids with LAST for null."""
-    doc = batch.column("doc_id").fill_null(LAST).to_numpy()
-    order = np.argsort(doc, kind="stable")
-    return batch.take(pa.array(order)), doc[order]
-
-
-# ---------------------------------------------------------------- 1. anchors
-
-NOMINATED = "part int, low binary, high binary, doc binary, pos binary, hit_doc binary, hit_pos binary"
-NOMINATED_SCHEMA = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("low", "high", "doc", "pos", "hit_doc", "hit_pos"))])
-
-
-def nominate(batches, rule: Rule, n_parts: int):
-    """Entries of anchors by part: one for a name that already repeats within the chunk (whose places go
-    along as hits), all places of any other."""
-    for batch in C.chunks(batches, size=rule.chunk):
-        batch, docs = in_order(batch)
-        text = Text(batch, rule)
-        at = text.anchors(text.valid(), text.least())
-        if not len(at):
-            continue
-        row = np.searchsorted(text.starts, at, side="right") - 1
-        name, doc, pos = text.run[at], docs[row], at - text.starts[row]
-        del text
-        order, cut = C.grouped(name)
-        first, last = order[cut[:-1]], order[cut[1:] - 1]
-        many = doc[first] != doc[last] if rule.across else np.diff(cut) > 1
-        in_many = np.empty(len(name), bool)
-        in_many[order] = np.repeat(many, np.diff(cut))
-        sent = ~in_many
-        sent[first] = True
-        part = C.spread(name, n_parts)
-        rows = []
-        for p, i in C.by_part(part, n_parts):
-            s, h = i[sent[i]], i[in_many[i]]
-            key = name[s]
-            rows.append((p, (key & U64(0xFFFFFFFF)).astype("<u4").tobytes(), ((key >> U64(56)) & U64(0xFF)).astype(np.uint8).tobytes(), squeeze(doc[s]), squeeze(pos[s]), squeeze(doc[h]), squeeze(pos[h])))
-        yield C.record(NOMINATED_SCHEMA, **dict(zip(NOMINATED_SCHEMA.names, map(list, zip(*rows, strict=True)), strict=True)))
-
-
-HITS = pa.schema([("doc", pa.int64()), ("pos", pa.int32())])
-
-
-def repeated(table: pa.Table, rule: Rule) -> pa.Table:
-    """Places of the part's anchors that repeat."""
-    col = lambda n: table.column(n).to_pylist()
-    low = np.concatenate([np.frombuffer(b, "<u4") for b in col("low")]).astype(np.uint64)
-    high = np.concatenate([np.frombuffer(b, np.uint8) for b in col("high")]).astype(np.uint64)
-    doc, pos = np.concatenate(swell(col("doc"))), np.concatenate(swell(col("pos")))
-    order, cut = C.grouped(low | high << U64(32))
-    n = np.diff(cut)
-    if rule.across:
-        least, most = np.minimum.reduceat(doc[order], cut[:-1]), np.maximum.reduceat(doc[order], cut[:-1])
-        many = least != most
-    else:
-        many = n > 1
-    hit = order[np.repeat(many, n)]
-    return pa.table({"doc": np.concatenate((doc[hit], *swell(col("hit_doc")))), "pos": np.concatenate((pos[hit], *swell(col("hit_pos")))).astype(np.int32)}, schema=HITS)
-
-
-# ---------------------------------------------------------------- 2. stretches
-
-BLOBS = ("key", "name", "doc", "slots", "pos", "n", "odd")
-STRETCHED = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_units", pa.int64()), ("sha256", pa.string()), ("slot", pa.int64()), ("text", pa.binary()), ("part", pa.int32()), *((b, pa.binary()) for b in BLOBS)])
-STRETCHED_DDL = "kind string, doc_id long, n_units long, sha256 string, slot long, text binary, part int, " + ", ".join(f"{b} binary" for b in BLOBS)
-
-
-def kept_bytes(text: bytes, rule: Rule, removed: np.ndarray | None = None) -> tuple[int, str]:
-    """Units of a text, and the digest of those that stay."""
-    if rule.unit == "word":
-        words = text.split()
-        stay = words if removed is None else [w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]
-        return len(words), hashlib.sha256(b" ".join(stay)).hexdigest()
-    stay = text if removed is None else np.frombuffer(text, np.uint8)[~removed].tobytes()
-    return len(text), hashlib.sha256(stay).hexdigest()
-
-
-def find_stretches(text: Text, hit: np.ndarray):
-    """Of the stretches with a nominated anchor: anchor name, stretch name, first place, windows, and
-    whether the anchor stands there twice. hit: flags of nominated places."""
-    rule = text.rule
-    valid, least = text.valid(), text.least()
-    anchors = text.anchors(valid, least)
-    same = np.zeros(len(anchors), bool)  # has an equal one near by
-    order, cut = C.grouped(text.run[anchors])
-    near = np.concatenate(((np.diff(anchors[order]) < 2 * rule.places), [False]))
-    near[cut[1:] - 1] = False
-    same[order] = near | np.concatenate(([False], near[:-1]))
-    odd_at, is_anchor = np.zeros(text.n, bool), np.zeros(text.n, bool)
-    odd_at[anchors], is_anchor[anchors] = same, True
-    rows = text.rows()
-    at = np.flatnonzero(valid)
-    if not len(at):
-        return None
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (rows[at[1:]] != rows[at[:-1]])
-    begin = np.flatnonzero(new)
-    run_start = np.repeat(begin, np.diff(np.concatenate((begin, [len(at)]))))
-    new |= (np.arange(len(at)) - run_start) % rule.places == 0
-    begin = np.flatnonzero(new)
-    n = np.diff(np.concatenate((begin, [len(at)])))
-    lo = at[begin]
-    hi = lo + n - 1
-    key = least[lo]
-    places = np.flatnonzero(is_anchor)
-    j = np.searchsorted(places, hi)  # the first anchor of that name at or after the last window's start
-    wrong = np.flatnonzero(text.run[places[j]] != key)
-    while len(wrong):
-        j[wrong] += 1
-        wrong = wrong[text.run[places[j[wrong]]] != key[wrong]]
-    anchor = places[j]
-    keep = hit[anchor]
-    lo, hi, n, key, odd = lo[keep], hi[keep], n[keep], key[keep], odd_at[anchor[keep]]
-    names = text.names()
-    return key, C.mix(C.pair(names[lo], names[hi]) + n.astype(np.uint64)), lo, n, odd
-
-
-def stretch(batches, rule: Rule, n_parts: int):
-    """Texts without hits are done; of the others, the text (by slot) and entries of stretches by part."""
-    task = TaskContext.get()
-    chunk = (task.partitionId() if task else 0) << 20
-    for batch in C.chunks(batches, size=rule.chunk):
-        batch, docs = in_order(batch)
-        texts = C.as_binary(batch.column("text"))
-        has = batch.column("hits").is_valid().to_numpy(zero_copy_only=False)
-        free = np.flatnonzero(~has)
-        if len(free):
-            done = [kept_bytes(texts[int(i)].as_py(), rule) for i in free]
-            yield C.record(STRETCHED, kind=["done"] * len(free), doc_id=batch.column("doc_id").take(pa.array(free)), n_units=[x[0] for x in done], sha256=[x[1] for x in done])
-        if not has.any():
-            continue
-        some = batch.filter(pa.array(has))
-        docs = docs[has]
-        slots = (chunk << 24) + np.arange(len(docs))
-        chunk += 1
-        yield C.record(STRETCHED, kind=["text"] * len(docs), doc_id=some.column("doc_id"), slot=slots, text=C.as_binary(some.column("text")))
-        text = Text(some, rule)
-        lists = some.column("hits")
-        pos = lists.flatten().to_numpy().astype(np.int64) + np.repeat(text.starts[:-1], lists.value_lengths().to_numpy())
-        hit = np.zeros(text.n + 1, bool)
-        hit[np.minimum(pos, text.n)] = True
-        found = find_stretches(text, hit)
-        if found is None or not len(found[0]):
-            continue
-        key, name, lo, n, odd = found
-        row = np.searchsorted(text.starts, lo, side="right") - 1
-        pos = lo - text.starts[row]
-        doc, slot = docs[row], slots[row]
-        yield from entries("stretch", key, name, doc, slot, pos, n, odd, twins(some, docs)[row], rule, n_parts)
-
-
-def twins(batch: pa.RecordBatch, docs: np.ndarray) -> np.ndarray:
-    """Of each row, in order of doc_id, the first row of the same doc_id and text."""
-    twin = np.arange(len(docs))
-    again = np.flatnonzero(docs[1:] == docs[:-1])
-    if len(again):
-        seen: dict[tuple[int, bytes], int] = {}
-        texts = C.as_binary(batch.column("text"))
-        for i in np.union1d(again, again + 1).tolist():
-            twin[i] = seen.setdefault((int(docs[i]), texts[i].as_py()), i)
-    return twin
-
-
-def entries(kind, key, name, doc, slot, pos, n, odd, twin, rule: Rule, n_parts: int):
-    """Within the chunk, the first of equal names goes to its part (with the others of its doc_id, if
-    only repeats across count, or else with its like in equal rows); the others are removed here."""
-    order, cut = C.grouped(name)
-    first = np.empty(len(name), np.int64)
-    first[order] = np.repeat(order[cut[:-1]], np.diff(cut))
-    gone = doc > doc[first] if rule.across else (first != np.arange(len(name))) & ((twin != twin[first]) | (pos != pos[first]))
-    i = np.flatnonzero(gone)
-    if len(i):  # goes to any part, as entries without a name
-        yield C.record(STRETCHED, kind=[kind], part=[int(key[i[0]] % U64(n_parts))], key=[b""], name=[b""], doc=[b""], slots=[squeeze(slot[i])], pos=[squeeze(pos[i])], n=[squeeze(n[i])], odd=[b""])
-    i = np.flatnonzero(~gone)
-    key, name, doc, slot, pos, n, odd = (x[i] for x in (key, name, doc, slot, pos, n, odd))
-    rows = [(p, key[j].tobytes(), name[j].tobytes(), squeeze(doc[j]), squeeze(slot[j]), squeeze(pos[j]), squeeze(n[j]), squeeze(odd[j])) for p, j in C.by_part(C.spread(key, n_parts), n_parts)]
-    if rows:
-        cols = dict(zip(("part", *BLOBS), map(list, zip(*rows, strict=True)), strict=True))
-        yield C.record(STRETCHED, kind=[kind] * len(rows), **cols)
-
-
-RUNS = pa.schema([("slot", pa.int64()), ("run", pa.int64()), ("open", pa.bool_())])
-RUNS_DDL = "slot long, run long, open boolean"
-
-
-def as_run(pos: np.ndarray, n: np.ndarray, rule: Rule) -> np.ndarray:
+        found = order.astype(np.uint32)
+        counts = np.diff(self.starts)
+        cut = np.minimum(counts, rule.threshold - 1)
+        found[C.ragged(self.starts[1:] - cut, cut)] = NONE
+        return found
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, first place and windows of each stretch."""
+        none = np.empty(0, np.int64)
+        if not self.n:
+            return none, none, none
+        found = self.anchors()
+        begin = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        n, anchor = np.diff(np.append(begin, self.n)), found[begin]
+        real = anchor != NONE
+        return anchor[real].astype(np.int64), begin[real], n[real]
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
+# ---------------------------------------------------------------- levels
+
+def nominate(batches, rule: Rule):
+    """Level 1: the names of a chunk's anchors."""
+    for chunk, batch, _ in opened(batches):
+        units = Units(batch, rule)
+        name = np.unique(units.names(units.stretches()[0], rule.start, 0)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(name), chunk))], names=["name", "chunk"])
+
+
+SENT = pa.schema([("key", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("chunk", pa.int64()), ("run", pa.int64()), ("more", pa.binary())])
+SENT_DDL = "key long, one long, two long, doc long, pos long, chunk long, run long, more binary"
+
+
+def sent(units: Units, chunk: int, key: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray, n: np.ndarray):
+    """One row for each name in the chunk: its first place, as a run of n windows, with any others that are just as
+    early in ``more``; and a row, of run -1, for all runs that repeat one of the chunk."""
+    rule, row = units.rule, units.rows(place)
+    doc, pos = units.docs[row], place - units.starts[row]
+    run = as_run(place, n, rule)
+    order = np.lexsort((run, pos, doc, two, one))
+    one, two, key, doc, pos, run = (x[order] for x in (one, two, key, doc, pos, run))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    head = np.flatnonzero(new)
+    of = head[np.cumsum(new) - 1]
+    gone = doc > doc[of] if rule.across else (doc > doc[of]) | (pos > pos[of])
+    also = ~gone & ~new
+    more: list[bytes | None] = [None] * len(head)
+    if also.any():
+        own = np.cumsum(new)[also] - 1
+        cut = np.flatnonzero(np.diff(own, prepend=-1))
+        for g, some in zip(own[cut].tolist(), np.split(run[also], cut[1:]), strict=True):
+            more[g] = squeeze(np.sort(some))
+    signed = lambda x: x[head].view(np.int64)
+    if len(head):
+        yield C.record(SENT, key=signed(key), one=signed(one), two=signed(two), doc=doc[head], pos=pos[head], chunk=np.full(len(head), chunk), run=run[head], more=more)
+    if gone.any():
+        yield C.record(SENT, key=[chunk], one=[chunk], two=[-1], doc=[LAST], pos=[0], chunk=[chunk], run=[-1], more=[squeeze(np.sort(run[gone]))])
+
+
+def as_run(place: np.ndarray, n: np.ndarray, rule: Rule) -> np.ndarray:
     """A run of windows as one number."""
-    return pos * (rule.places + 1) + n
+    return place * (rule.places + 1) + n
 
 
 def of_run(run: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return run // (rule.places + 1), run % (rule.places + 1)
 
 
-def judge(table: pa.Table, rule: Rule) -> pa.Table:
-    """Of the part's entries: those that repeat an earlier one, and those left open; and what chunks sent as
-    removed."""
-    named = pa.compute.greater(pa.compute.binary_length(table.column("key")), 0)
-    before, table = table.filter(pa.compute.invert(named)), table.filter(named)
-    known = [np.concatenate(swell(before.column(c).to_pylist())) for c in ("slots", "pos", "n")]
-    removed = pa.table({"slot": known[0], "run": as_run(known[1], known[2], rule), "open": np.zeros(len(known[0]), bool)}, schema=RUNS)
-    if not table.num_rows:
-        return removed
-    col = lambda c: table.column(c).to_pylist()
-    key, name = (np.concatenate([np.frombuffer(b, np.uint64) for b in col(c)]) for c in ("key", "name"))
-    doc, slot, pos, n, odd = (np.concatenate(swell(col(c))) for c in ("doc", "slots", "pos", "n", "odd"))
-    order = np.lexsort((pos, doc, name))
-    k = name[order]
-    begin = np.concatenate(([True], k[1:] != k[:-1]))
-    first = order[begin][np.cumsum(begin) - 1]
-    gone = np.zeros(len(key), bool)
-    gone[order] = doc[order] > doc[first] if rule.across else (order != first) & ((doc[order] != doc[first]) | (pos[order] != pos[first]))
-    # open: anchors with several stretches
-    heads = order[begin]
-    ks, inverse = np.unique(key, return_inverse=True)
-    several = np.bincount(inverse[heads], minlength=len(ks)) > 1
-    left = ~gone & (several[inverse] | (odd.astype(bool) & (not rule.across)))
-    i = np.flatnonzero(gone | left)
-    return pa.concat_tables([removed, pa.table({"slot": slot[i], "run": as_run(pos[i], n[i], rule), "open": left[i]}, schema=RUNS)])
-
-
-# ---------------------------------------------------------------- 3. windows
-
-def flags(text: Text, batch: pa.RecordBatch, column: str) -> np.ndarray:
-    """Places that lie in the runs of a column, among all units of the chunk."""
-    lists = batch.column(column)
-    pos, n = of_run(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), text.rule)
-    base = np.repeat(text.starts[:-1], pa.compute.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    return covered(base + pos, n, text.n)
-
-
-def covered(start: np.ndarray, n: np.ndarray, total: int) -> np.ndarray:
-    ends = np.zeros(total + 1, np.int64)
-    np.add.at(ends, start, 1)
-    np.add.at(ends, np.minimum(start + n, total), -1)
-    return np.cumsum(ends[:-1]) > 0
-
-
-def single(batches, rule: Rule, n_parts: int):
-    """Entries of the windows of open stretches."""
-    for batch in C.chunks(batches, size=rule.chunk):
-        batch, docs = in_order(batch)
-        text = Text(batch, rule)
-        at = np.flatnonzero(flags(text, batch, "runs"))
-        if not len(at):
-            continue
-        name = text.names()[at]
-        row = np.searchsorted(text.starts, at, side="right") - 1
-        slot = batch.column("slot").to_numpy()[row]
-        ones = np.ones(len(at), np.int64)
-        yield from entries("window", name, name, docs[row], slot, at - text.starts[row], ones, ones * 0, twins(batch, docs)[row], rule, n_parts)
+def stretch(batches, rule: Rule):
+    """Level 2: stretches whose anchor stands in other chunks (hits), or in the chunk again."""
+    for chunk, batch, hits in opened(batches, "hits"):
+        units = Units(batch, rule)
+        anchor, lo, n = units.stretches()
+        key = units.names(anchor, rule.start, 0)
+        order, cut = C.grouped(key)
+        many = np.diff(cut) > 1
+        if rule.across and len(order):
+            doc = units.docs[units.rows(anchor)][order]
+            many = np.minimum.reduceat(doc, cut[:-1]) != np.maximum.reduceat(doc, cut[:-1])
+        left = np.empty(len(key), bool)
+        left[order] = np.repeat(many, np.diff(cut))
+        left |= np.isin(key, listed(hits, np.int64).view(np.uint64))
+        anchor, lo, n, key = (x[left] for x in (anchor, lo, n, key))
+        if len(lo):
+            place_of = (n + ((anchor - lo) << 32)).astype(np.uint64)
+            one, two = (C.pair(C.pair(units.names(lo, rule.threshold, w), units.names(lo + n - 1, rule.threshold, w)), place_of) for w in (0, 1))
+            yield from sent(units, chunk, key, one, two, lo, n)
+
+
+def single(batches, rule: Rule):
+    """Level 3: the windows of open stretches."""
+    for chunk, batch, runs in opened(batches, "runs"):
+        units = Units(batch, rule)
+        lo, n = of_run(listed(runs, np.int64), rule)
+        at = C.ragged(lo, n)
+        one, two = (units.names(at, rule.threshold, w) for w in (0, 1))
+        yield from sent(units, chunk, np.zeros(len(at), np.uint64), one, two, at, np.ones(len(at), np.int64))
+
+
+def judged(rows: DataFrame, rule: Rule, *by: str) -> DataFrame:
+    """Sorted by name and place: the first row of each name, and whether a row repeats an earlier one."""
+    same = Window.partitionBy(*by, "one", "two").orderBy("doc", "pos", "chunk")
+    place = F.col("doc") if rule.across else F.struct("doc", "pos")
+    ranked = rows.select(*by, "chunk", "run", "more", (F.row_number().over(same) == 1).alias("head"), F.first(place).over(same).alias("first"), place.alias("own"))
+    return ranked.select(*by, "chunk", "run", "more", "head", ((F.col("run") < 0) | (F.col("own") > F.col("first"))).alias("gone"))
+
+
+def runs_of(rows: DataFrame) -> DataFrame:
+    """All runs of rows, by chunk."""
+    listed_ = rows.groupBy("chunk").agg(F.collect_list(F.when(F.col("run") >= 0, F.col("run"))).alias("runs"), F.collect_list("more").alias("more"))
+    return listed_.select("chunk", "runs", "more").mapInArrow(together, "chunk long, runs array<long>")
+
+
+def together(batches):
+    kind = pa.schema([("chunk", pa.int64()), ("runs", pa.list_(pa.int64()))])
+    for batch in batches:
+        for i in range(batch.num_rows):
+            runs = np.concatenate((listed(batch.column("runs")[i], np.int64), *swell(batch.column("more")[i].as_py())))
+            yield C.record(kind, chunk=[batch.column("chunk")[i].as_py()], runs=[runs])
 
 
 # ---------------------------------------------------------------- result
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha256", pa.string()), ("crc32", pa.int64()), ("kept_text", pa.binary())])
-RESULT_DDL = "doc_id long, n_units long, n_removed long, n_spans long, sha256 string, crc32 long, kept_text binary"
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha256", pa.string())])
+RESULT_DDL = "doc_id long, n_units long, n_removed long, n_spans long, sha256 string"
 
 
-def removed_units(batch: pa.RecordBatch, rule: Rule):
-    """Of each row: its bytes, and flags of its units that go."""
-    texts = C.as_binary(batch.column("text")).to_pylist()
-    for t, runs in zip(texts, batch.column("runs").to_pylist(), strict=True):
-        total = len(t.split()) if rule.unit == "word" else len(t)
-        pos, n = of_run(np.array(runs or [], np.int64), rule)
-        yield t, covered(pos, n + rule.threshold - 1, total)
+def removed(batches, rule: Rule) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
+    """Rows of a chunk, their bytes, and flags of the units of each that go."""
+    for _, batch, runs in opened(batches, "runs"):
+        texts = C.as_binary(batch.column("text")).to_pylist()
+        ends = np.cumsum([len(t.split()) if rule.unit == "word" else len(t) for t in texts])
+        total = int(ends[-1])
+        place, n = of_run(listed(runs, np.int64), rule)
+        edge = np.bincount(place, minlength=total + 1) - np.bincount(place + n + rule.threshold - 1, minlength=total + 1)
+        yield batch, texts, np.split(np.cumsum(edge[:-1]) > 0, ends[:-1])
 
 
-def cut_out(batches, rule: Rule, with_text: bool):
-    for batch in C.chunks(batches, size=rule.chunk):
-        cols: list[list] = [[] for _ in RESULT.names[1:]]
-        for t, gone in removed_units(batch, rule):
-            units, digest = kept_bytes(t, rule, gone)
-            spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-            values = (units, int(gone.sum()), spans, digest, zlib.crc32(t), without(t, gone, rule) if with_text and spans else None)
-            for c, v in zip(cols, values, strict=True):
-                c.append(v)
-        yield C.record(RESULT, doc_id=batch.column("doc_id"), **dict(zip(RESULT.names[1:], cols, strict=True)))
+def kept_digest(text: bytes, gone: np.ndarray, rule: Rule) -> str:
+    if rule.unit == "byte":
+        return hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text).hexdigest()
+    words = text.split()
+    return hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words)).hexdigest()
+
+
+def digests(batches, rule: Rule):
+    for batch, texts, gone in removed(batches, rule):
+        spans = [int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1)) for g in gone]
+        yield C.record(RESULT, doc_id=batch.column("doc_id"), n_units=[len(g) for g in gone], n_removed=[int(g.sum()) for g in gone], n_spans=spans, sha256=[kept_digest(t, g, rule) for t, g in zip(texts, gone, strict=True)])
+
+
+def cut_texts(batches, rule: Rule):
+    for batch, texts, gone in removed(batches, rule):
+        some = np.array([bool(g.any()) for g in gone])
+        left = [without(t, g, rule) for t, g in zip(texts, gone, strict=True)]
+        stay = pa.array([not s or bool(t) for s, t in zip(some.tolist(), left, strict=True)])
+        i = batch.schema.get_field_index("text")
+        text = pa.array([t.decode() for t in left], batch.schema.field(i).type)
+        text = pa.compute.if_else(batch.column(i).is_valid(), text, batch.column(i))
+        yield batch.set_column(i, batch.schema.field(i), text).filter(stay)
 
 
 def without(text: bytes, gone: np.ndarray, rule: Rule) -> bytes:
@@ -429,46 +331,25 @@ def without(text: bytes, gone: np.ndarray, rule: Rule) -> bytes:
     return data[~flag[owner]].tobytes().lstrip(b" \t\n\x0b\x0c\r") if gone[0] else data[~flag[owner]].tobytes()
 
 
-def gathered(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("slot").agg(F.collect_list("run").alias("runs"))
-
-
-def judged(entries_: DataFrame, rule: Rule) -> DataFrame:
-    return entries_.select("part", *BLOBS).groupBy("part").applyInArrow(lambda t: C.tidy(judge(t, rule)), RUNS_DDL)
-
-
-def with_stretches(docs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
-    """Steps 1 and 2: by kind, texts without nominated anchors (done), the others, and entries of stretches."""
-    sent = docs.mapInArrow(lambda b: nominate(b, rule, n_parts), NOMINATED)
-    hits = sent.groupBy("part").applyInArrow(lambda t: C.tidy(repeated(t, rule)), "doc long, pos int")
-    hits = hits.groupBy("doc").agg(F.collect_list("pos").alias("hits"))
-    joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(hits.hint("shuffle_merge"), "doc", "left").select("doc_id", "text", "hits")
-    return C.save(joined.mapInArrow(lambda b: stretch(b, rule, n_parts), STRETCHED_DDL), "stretches", by="kind")
-
-
-def with_windows(text: DataFrame, runs: DataFrame, rule: Rule, n_parts: int) -> DataFrame:
-    """Step 3: windows of open stretches that repeat earlier ones."""
-    opened = text.join(gathered(runs.where("open")).hint("shuffle_merge"), "slot").mapInArrow(lambda b: single(b, rule, n_parts), STRETCHED_DDL)
-    return C.save(judged(opened, rule).where("not open"), "runs")
-
-
-def remove(docs: DataFrame, rule: Rule, with_text: bool = False) -> DataFrame:
-    """Per document: units, units removed, spans, the digest of what stays, and if asked for, of those from
-    which something was cut, what stays and the crc32 of the text as it was (else null)."""
+def remove(docs: DataFrame, rule: Rule, finish, schema) -> DataFrame:
+    """All levels, then ``finish`` over each chunk and its runs of removed windows; the result is written, and
+    what led to it deleted."""
     spark = docs.sparkSession
-    n_parts = C.parts(spark)
-    docs = C.only(docs, "doc_id", "text")
-    saved = with_stretches(docs, rule, n_parts)
-    C.free(spark)
-    runs = C.save(judged(saved.where("kind = 'stretch'"), rule), "runs")
-    C.free(spark)
-    text = saved.where("kind = 'text'").select("slot", "doc_id", "text")
-    more = with_windows(text, runs, rule, n_parts)
-    C.free(spark)
-    all_gone = gathered(runs.where("not open").unionByName(more))
-    cut = text.join(all_gone.hint("shuffle_merge"), "slot", "left").mapInArrow(lambda b: cut_out(b, rule, with_text), RESULT_DDL)
-    done = saved.where("kind = 'done'").select("doc_id", "n_units", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "sha256", F.lit(None).cast("long").alias("crc32"), F.lit(None).cast("binary").alias("kept_text"))
-    return done.unionByName(cut)
+    with C.Scratch(spark) as own:
+        texts = own.deal(docs.mapInArrow(lambda b: packed(b, rule), "chunk long, image binary"), "chunk", "chunks")
+        near = Window.partitionBy("name").orderBy("chunk")
+        names = texts.mapInArrow(lambda b: nominate(b, rule), "name long, chunk long")
+        twice = names.select("name", "chunk", F.lag("chunk").over(near).alias("before"), F.lead("chunk").over(near).alias("after")).where("before IS NOT NULL OR after IS NOT NULL")
+        hits = own.save(twice.groupBy("chunk").agg(F.collect_list("name").alias("hits")), "hits")
+        level = texts.join(hits.hint("shuffle_merge"), "chunk", "left").mapInArrow(lambda b: stretch(b, rule), SENT_DDL)
+        stretches = own.save(judged(level, rule, "key"), "stretches")
+        several = stretches.where("head AND run >= 0").groupBy("key").count().where("count > 1").select("key")
+        open_ = stretches.where("NOT gone").join(several.hint("shuffle_merge"), "key", "left_semi")
+        opened_ = own.save(runs_of(open_), "open")
+        level = texts.join(opened_.hint("shuffle_merge"), "chunk").mapInArrow(lambda b: single(b, rule), SENT_DDL)
+        windows = own.save(judged(level, rule).where("gone").select("chunk", "run", "more"), "windows")
+        gone = runs_of(stretches.where("gone").select("chunk", "run", "more").unionByName(windows))
+        return C.save(texts.join(gone.hint("shuffle_merge"), "chunk", "left").mapInArrow(finish, schema), "cut")
 
 
 #: Words: 20 in a window, whose least run of 10 is its anchor. Bytes: 50, and 24.
@@ -479,23 +360,26 @@ BYTES = Rule("byte", 50, 24, True)
 def substring_dedup(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
     """Level-wise doubling over words: doc_id, n_words, n_removed, n_spans, kept_sha256.
 
-    Defined cases: a null or empty text has no words; a text shorter than a window stays whole; equal rows
-    (same doc_id and text) get the same result; documents without a doc_id come last; an empty table gives
-    no row; extra columns are ignored."""
-    return remove(docs, rule).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
+    Defined cases: a null or empty text has no words; a text shorter than a window stays whole; rows of one doc_id
+    count as one document, as do all rows without a doc_id, which come last: a window is earlier if its doc_id is
+    smaller or, these being equal, if it starts at an earlier word, so equal rows get the same result; a very long
+    text is a chunk of its own; an empty table gives no row; extra columns, whatever their names, are ignored."""
+    found = remove(C.only(docs, "doc_id", "text"), rule, lambda b: digests(b, rule), RESULT_DDL)
+    return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
 
 
 def suffix_dedup(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
-    """Prefix doubling over bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Defined cases as in
-    ``substring_dedup``; a cut may fall inside a character, so what stays is bytes."""
-    return remove(docs, rule).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
+    """Prefix doubling over bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    Defined cases: a null or empty text has no bytes; a text shorter than a window stays whole; only a smaller doc_id
+    counts, so rows of one doc_id don't cut one another, nor do rows without a doc_id, which come last; a cut may fall
+    inside a character, so what stays is bytes; a very long text is a chunk of its own; an empty table gives no row;
+    extra columns, whatever their names, are ignored."""
+    found = remove(C.only(docs, "doc_id", "text"), rule, lambda b: digests(b, rule), RESULT_DDL)
+    return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("sha256").alias("kept_sha256"))
 
 
 def cut_repeats(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
-    """``docs`` without the words that repeat earlier ones; white space before a word goes with it. A
-    document of which nothing is left goes. Rows of one doc_id are told apart by their texts."""
-    cut = remove(docs, rule, with_text=True).where("kept_text IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("crc32").alias("__crc"), F.col("kept_text").cast("string").alias("__text")).dropDuplicates(["__id", "__crc"])
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.crc32(F.col("text").cast("binary")) == F.col("__crc"))
-    found = docs.join(cut.hint("shuffle_merge"), match, "left")
-    found = found.where("__text IS NULL OR __text <> ''").withColumn("text", F.coalesce("__text", "text"))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without the words that repeat earlier ones; white space before a word goes with it. A document of
+    which nothing is left goes. All columns of docs stay as they are; other cases as in ``substring_dedup``."""
+    return remove(docs, rule, lambda b: cut_texts(b, rule), docs.schema)
