@@ -8,11 +8,13 @@ hash, the leftmost of equals, is its *anchor*; equal windows have equal anchors
 2. *Stretches.* Consecutive windows with one anchor are a stretch. Of those whose anchor is left, Spark sorts the
    pair (name of the first window, name of the last) under the anchor's name: of equal stretches all but the first
    are removed. If all stretches of an anchor are equal, all its windows are decided.
-3. *Windows.* Of the others, Spark sorts the windows by themselves (two names, each of the whole window).
+3. *Halves.* Of the others, Spark sorts the anchor's run grown half way to a window, once to the left and once to the
+   right: every window of the stretch holds one of these. What is unique goes.
+4. *Windows.* Of what is left, Spark sorts the windows by themselves (two names, each of the whole window).
 
-Each level sees only what was not unique at the one before, with a name twice as long or more. Names of the last two
-levels are 128 bits; the first only nominates. A chunk sends one row for a name however often it stands there, so a
-passage in a third of all texts sends a row for each chunk.
+Each level sees only what was not unique at the one before, under a longer name. The names that decide (levels 2 and 4)
+have 128 bits; the others only nominate. A chunk sends one row for a name however often it stands there, so a passage in
+a third of all texts sends a row for each chunk.
 
 Texts are dealt once: chunks of whole documents, compressed, in a table bucketed by chunk, with which each level's
 verdicts are joined in place. Tables of a level go when the next one is written.
@@ -91,12 +93,13 @@ def packed(batches, rule: Rule):
         chunk += 1
 
 
-def opened(batches, column: str | None = None) -> Iterator[tuple[int, pa.RecordBatch, object]]:
-    """Chunk, its rows, and what the column says of it."""
+def opened(batches, *columns: str) -> Iterator[tuple[int, pa.RecordBatch, object]]:
+    """Chunk, its rows, and what the column (or columns) say of it."""
     for batch in batches:
         for i in range(batch.num_rows):
             with pa.ipc.open_stream(batch.column("image")[i].as_buffer()) as rows:
-                yield batch.column("chunk")[i].as_py(), rows.read_next_batch(), batch.column(column)[i] if column else None
+                said = [batch.column(c)[i] for c in columns]
+                yield batch.column("chunk")[i].as_py(), rows.read_next_batch(), said[0] if len(said) == 1 else said
             C.give_back()
 
 
@@ -176,20 +179,44 @@ def nominate(batches, rule: Rule):
     """Level 1: the names of a chunk's anchors."""
     for chunk, batch, _ in opened(batches):
         units = Units(batch, rule)
-        name = np.unique(units.names(units.stretches()[0], rule.start, 0)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(name), chunk))], names=["name", "chunk"])
+        yield names_of(chunk, units.names(units.stretches()[0], rule.start, 0))
 
 
+def names_of(chunk: int, names: np.ndarray) -> pa.RecordBatch:
+    name = np.unique(names).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(name), chunk))], names=["name", "chunk"])
+
+
+def repeated(names: DataFrame) -> DataFrame:
+    """By chunk, the names that stand in another chunk too."""
+    near = Window.partitionBy("name").orderBy("chunk")
+    twice = names.select("name", "chunk", F.lag("chunk").over(near).alias("before"), F.lead("chunk").over(near).alias("after")).where("before IS NOT NULL OR after IS NOT NULL")
+    return twice.groupBy("chunk").agg(F.collect_list("name").alias("hits"))
+
+
+def not_unique(units: Units, name: np.ndarray, place: np.ndarray, hits) -> np.ndarray:
+    """Which of these names repeat: in other chunks (hits) or in this one."""
+    order, cut = C.grouped(name)
+    many = np.diff(cut) > 1
+    if units.rule.across and len(order):
+        doc = units.docs[units.rows(place)][order]
+        many = np.minimum.reduceat(doc, cut[:-1]) != np.maximum.reduceat(doc, cut[:-1])
+    left = np.empty(len(name), bool)
+    left[order] = np.repeat(many, np.diff(cut))
+    return left | np.isin(name, listed(hits, np.int64).view(np.uint64))
+
+
+NAMES_DDL = "name long, chunk long"
 SENT = pa.schema([("key", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("chunk", pa.int64()), ("run", pa.int64()), ("more", pa.binary())])
 SENT_DDL = "key long, one long, two long, doc long, pos long, chunk long, run long, more binary"
 
 
-def sent(units: Units, chunk: int, key: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray, n: np.ndarray):
+def sent(units: Units, chunk: int, key: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray, n: np.ndarray, offset: np.ndarray):
     """One row for each name in the chunk: its first place, as a run of n windows, with any others that are just as
     early in ``more``; and a row, of run -1, for all runs that repeat one of the chunk."""
     rule, row = units.rule, units.rows(place)
     doc, pos = units.docs[row], place - units.starts[row]
-    run = as_run(place, n, rule)
+    run = as_run(place, n, offset)
     order = np.lexsort((run, pos, doc, two, one))
     one, two, key, doc, pos, run = (x[order] for x in (one, two, key, doc, pos, run))
     new = np.ones(len(order), bool)
@@ -204,20 +231,22 @@ def sent(units: Units, chunk: int, key: np.ndarray, one: np.ndarray, two: np.nda
         cut = np.flatnonzero(np.diff(own, prepend=-1))
         for g, some in zip(own[cut].tolist(), np.split(run[also], cut[1:]), strict=True):
             more[g] = squeeze(np.sort(some))
-    signed = lambda x: x[head].view(np.int64)
     if len(head):
+        by = np.argsort(run[head], kind="stable")  # neighbours are alike, which compresses
+        head, more = head[by], [more[i] for i in by.tolist()] if also.any() else more
+        signed = lambda x: x[head].view(np.int64)
         yield C.record(SENT, key=signed(key), one=signed(one), two=signed(two), doc=doc[head], pos=pos[head], chunk=np.full(len(head), chunk), run=run[head], more=more)
     if gone.any():
         yield C.record(SENT, key=[chunk], one=[chunk], two=[-1], doc=[LAST], pos=[0], chunk=[chunk], run=[-1], more=[squeeze(np.sort(run[gone]))])
 
 
-def as_run(place: np.ndarray, n: np.ndarray, rule: Rule) -> np.ndarray:
-    """A run of windows as one number."""
-    return place * (rule.places + 1) + n
+def as_run(place: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """A run of windows, and where in the first of them the anchor stands, as one number (both are under 64)."""
+    return place << 12 | n << 6 | offset
 
 
-def of_run(run: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    return run // (rule.places + 1), run % (rule.places + 1)
+def of_run(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return run >> 12, run >> 6 & 63, run & 63
 
 
 def stretch(batches, rule: Rule):
@@ -226,29 +255,47 @@ def stretch(batches, rule: Rule):
         units = Units(batch, rule)
         anchor, lo, n = units.stretches()
         key = units.names(anchor, rule.start, 0)
-        order, cut = C.grouped(key)
-        many = np.diff(cut) > 1
-        if rule.across and len(order):
-            doc = units.docs[units.rows(anchor)][order]
-            many = np.minimum.reduceat(doc, cut[:-1]) != np.maximum.reduceat(doc, cut[:-1])
-        left = np.empty(len(key), bool)
-        left[order] = np.repeat(many, np.diff(cut))
-        left |= np.isin(key, listed(hits, np.int64).view(np.uint64))
+        left = not_unique(units, key, anchor, hits)
         anchor, lo, n, key = (x[left] for x in (anchor, lo, n, key))
         if len(lo):
-            place_of = (n + ((anchor - lo) << 32)).astype(np.uint64)
-            one, two = (C.pair(C.pair(units.names(lo, rule.threshold, w), units.names(lo + n - 1, rule.threshold, w)), place_of) for w in (0, 1))
-            yield from sent(units, chunk, key, one, two, lo, n)
+            shape = (n + ((anchor - lo) << 32)).astype(np.uint64)
+            one, two = (C.pair(C.pair(units.names(lo, rule.threshold, w), units.names(lo + n - 1, rule.threshold, w)), shape) for w in (0, 1))
+            yield from sent(units, chunk, key, one, two, lo, n, anchor - lo)
 
 
-def single(batches, rule: Rule):
-    """Level 3: the windows of open stretches."""
+def grown(units: Units, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs: for each half that a window of it holds, the run's index, whether it is the left one, its name and place."""
+    rule = units.rule
+    half = (rule.threshold - rule.start) // 2
+    lo, n, offset = of_run(runs)
+    anchor, left, right = lo + offset, np.flatnonzero(offset >= half), np.flatnonzero(offset - n + 1 <= half)
+    size = rule.start + half, rule.threshold - half
+    name = np.concatenate((units.names(anchor[left] - half, size[0], 0), units.names(anchor[right], size[1], 0) ^ U64(1)))
+    return np.concatenate((left, right)), np.repeat([True, False], [len(left), len(right)]), name, np.concatenate((anchor[left], anchor[right]))
+
+
+def halves(batches, rule: Rule):
+    """Level 3: names of the halves of open stretches."""
     for chunk, batch, runs in opened(batches, "runs"):
         units = Units(batch, rule)
-        lo, n = of_run(listed(runs, np.int64), rule)
-        at = C.ragged(lo, n)
+        yield names_of(chunk, grown(units, listed(runs, np.int64))[2])
+
+
+def single(batches, rule: Rule):
+    """Level 4: the windows of open stretches whose halves repeat."""
+    half = (rule.threshold - rule.start) // 2
+    for chunk, batch, (runs, hits) in opened(batches, "runs", "hits"):
+        units, runs = Units(batch, rule), listed(runs, np.int64)
+        index, is_left, name, place = grown(units, runs)
+        again = not_unique(units, name, place, hits)
+        ok = np.zeros((2, len(runs)), bool)
+        ok[is_left.astype(np.int64), index] = again
+        lo, n, offset = of_run(runs)
+        at, of = C.ragged(lo, n), np.repeat(np.arange(len(runs)), n)
+        into = (lo + offset)[of] - at  # from a window's start to its anchor
+        at = at[((into < half) | ok[1, of]) & ((into > half) | ok[0, of])]
         one, two = (units.names(at, rule.threshold, w) for w in (0, 1))
-        yield from sent(units, chunk, np.zeros(len(at), np.uint64), one, two, at, np.ones(len(at), np.int64))
+        yield from sent(units, chunk, np.zeros(len(at), np.uint64), one, two, at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64))
 
 
 def judged(rows: DataFrame, rule: Rule, *by: str) -> DataFrame:
@@ -285,7 +332,7 @@ def removed(batches, rule: Rule) -> Iterator[tuple[pa.RecordBatch, list[bytes],
         texts = C.as_binary(batch.column("text")).to_pylist()
         ends = np.cumsum([len(t.split()) if rule.unit == "word" else len(t) for t in texts])
         total = int(ends[-1])
-        place, n = of_run(listed(runs, np.int64), rule)
+        place, n, _ = of_run(listed(runs, np.int64))
         edge = np.bincount(place, minlength=total + 1) - np.bincount(place + n + rule.threshold - 1, minlength=total + 1)
         yield batch, texts, np.split(np.cumsum(edge[:-1]) > 0, ends[:-1])
 
@@ -337,19 +384,16 @@ def remove(docs: DataFrame, rule: Rule, finish, schema) -> DataFrame:
     spark = docs.sparkSession
     with C.Scratch(spark) as own:
         texts = own.deal(docs.mapInArrow(lambda b: packed(b, rule), "chunk long, image binary"), "chunk", "chunks")
-        near = Window.partitionBy("name").orderBy("chunk")
-        names = texts.mapInArrow(lambda b: nominate(b, rule), "name long, chunk long")
-        twice = names.select("name", "chunk", F.lag("chunk").over(near).alias("before"), F.lead("chunk").over(near).alias("after")).where("before IS NOT NULL OR after IS NOT NULL")
-        hits = own.save(twice.groupBy("chunk").agg(F.collect_list("name").alias("hits")), "hits")
-        level = texts.join(hits.hint("shuffle_merge"), "chunk", "left").mapInArrow(lambda b: stretch(b, rule), SENT_DDL)
-        stretches = own.save(judged(level, rule, "key"), "stretches")
+        with_ = lambda said, how="inner": texts.join(said.hint("shuffle_merge"), "chunk", how)
+        hits = own.save(repeated(texts.mapInArrow(lambda b: nominate(b, rule), NAMES_DDL)), "hits")
+        stretches = own.save(judged(with_(hits, "left").mapInArrow(lambda b: stretch(b, rule), SENT_DDL), rule, "key"), "stretches")
         several = stretches.where("head AND run >= 0").groupBy("key").count().where("count > 1").select("key")
-        open_ = stretches.where("NOT gone").join(several.hint("shuffle_merge"), "key", "left_semi")
-        opened_ = own.save(runs_of(open_), "open")
-        level = texts.join(opened_.hint("shuffle_merge"), "chunk").mapInArrow(lambda b: single(b, rule), SENT_DDL)
-        windows = own.save(judged(level, rule).where("gone").select("chunk", "run", "more"), "windows")
-        gone = runs_of(stretches.where("gone").select("chunk", "run", "more").unionByName(windows))
-        return C.save(texts.join(gone.hint("shuffle_merge"), "chunk", "left").mapInArrow(finish, schema), "cut")
+        open_ = own.save(runs_of(stretches.where("NOT gone").join(several.hint("shuffle_merge"), "key", "left_semi")), "open")
+        again = own.save(repeated(with_(open_).mapInArrow(lambda b: halves(b, rule), NAMES_DDL)), "halves")
+        both = with_(open_).join(again.hint("shuffle_merge"), "chunk", "left")
+        windows = judged(both.mapInArrow(lambda b: single(b, rule), SENT_DDL), rule).where("gone").select("chunk", "run", "more")
+        gone = own.save(runs_of(stretches.where("gone").select("chunk", "run", "more").unionByName(windows)), "gone")
+        return C.save(with_(gone, "left").mapInArrow(finish, schema), "cut")
 
 
 #: Words: 20 in a window, whose least run of 10 is its anchor. Bytes: 50, and 24.
