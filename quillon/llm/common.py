@@ -28,12 +28,15 @@ GOLD, MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D04
 # ---------------------------------------------------------------- storage
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a new one if all run on this machine
+    (tests), and else an error, as executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="quillon-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -326,7 +329,8 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def record(schema: pa.Schema, **cols) -> pa.RecordBatch:
     """A batch of ``schema``; columns that aren't given are null."""
     n = max(len(v) for v in cols.values())
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+    of = lambda f, v: v if isinstance(v, pa.Array) and v.type == f.type else pa.array(v, type=f.type)
+    return pa.RecordBatch.from_arrays([of(f, cols[f.name]) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
