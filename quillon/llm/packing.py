@@ -200,6 +200,17 @@ def place(batches, of: dict[str, np.ndarray], most: int):
         yield C.record(PLACED, sequence_id=of["sequence"][i] + rank - of["rank"][i], offset=of["offset"][i], **{c: b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")})
 
 
+def running(by_chunk: DataFrame) -> DataFrame:
+    """(length, chunk, before) of counts (length, chunk, n): the sum over smaller chunks. First over the tasks that made
+    the chunks, then within each, so a length that all chunks have needs no task that sees them all."""
+    task = F.shiftright("chunk", 24).alias("task")
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    tasks = by_chunk.groupBy("length", task).agg(F.sum("n").alias("n")).select("length", "task", so_far(upto("length", "task")).alias("base"))
+    own = by_chunk.withColumn("task", task).select("length", "task", "chunk", so_far(upto("length", "task", "chunk")).alias("own"))
+    return own.join(tasks.hint("shuffle_merge"), ["length", "task"]).select("length", "chunk", (F.col("base") + F.col("own")).alias("before"))
+
+
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = T.END, size: int = SIZE, remember: int = T.REMEMBERED) -> DataFrame:
     """Each piece of each document with its sequence and its place there. remember: most pieces of text whose
     encodings a worker keeps, which bounds its memory."""
@@ -208,7 +219,6 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = T.END
     by_chunk = C.save(cut_up.groupBy("length", "chunk").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     of, most = slots(plan(counts, size)[0]), max(counts.values(), default=0)
-    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = by_chunk.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranks = running(by_chunk)
     ranked = cut_up.join(ranks.hint("shuffle_merge"), ["chunk", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lambda b: place(b, of, most), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -32,6 +32,9 @@ MAGIC = b"QTOKENS1"
 HEADER = struct.Struct("<8sQQQBxxxxxxx")  # magic, documents, of these without doc_id, ids, bytes of an id
 SAMPLE = 256
 SHARD_TOKENS = 4 << 20
+#: Of each byte, its ones, and the place of each of them.
+ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
+NTH = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable")
 
 
 class EliasFano:
@@ -90,6 +93,29 @@ class EliasFano:
             low = some >> (first % 8) & ((1 << self.low_bits) - 1)
         return (position - i) << self.low_bits | low
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """Values at these places, all found together: each starts at its sampled one and walks on by bytes."""
+        if not len(i):
+            return np.empty(0, np.int64)
+        if i.min() < 0 or i.max() >= self.n:
+            raise IndexError(i)
+        at = self.ones[i // SAMPLE].astype(np.int64)
+        byte, word = at >> 3, self.high[at >> 3] >> (at & 7).astype(np.uint8) << (at & 7).astype(np.uint8)
+        left, have = i % SAMPLE, ONES[word].astype(np.int64)
+        on = np.flatnonzero(have <= left)
+        while len(on):
+            left[on] -= have[on]
+            byte[on] += 1
+            word[on] = self.high[byte[on]]
+            have[on] = ONES[word[on]]
+            on = on[have[on] <= left[on]]
+        high = byte * 8 + NTH[word, left] - i
+        if not self.low_bits:
+            return high
+        bit = i[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = (self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(np.int64)
+        return high << self.low_bits | (bits << np.arange(self.low_bits)).sum(axis=1)
+
     def all(self) -> np.ndarray:
         if not self.n:
             return np.empty(0, np.int64)
@@ -170,7 +196,7 @@ def read_rows(batches):
     for batch in batches:
         for number, b in zip(batch.column("shard").to_pylist(), batch.column("image").to_pylist(), strict=True):
             s = Shard(b)
-            starts = s.starts.all()
+            starts = s.starts.select_many(np.arange(s.n + 1))
             wide = s.ids.astype("<u4")
             crc = [zlib.crc32(wide[a:e]) for a, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             bits = 8 * (len(s.starts.low) + len(s.starts.high) + s.starts.ones.nbytes) / max(s.n, 1)
@@ -179,8 +205,11 @@ def read_rows(batches):
 
 def read(table: DataFrame) -> DataFrame:
     """Per document, from the shards: doc_id, start among all ids, n_tokens, ids_crc32, and the bits that
-    its boundary takes. Starts of shards are sums over one narrow row a shard."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = table.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    its boundary takes. Starts of shards are sums over the tasks that wrote them, then over the shards of a task."""
+    task = F.shiftright("shard", 24).alias("task")
+    so_far = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = table.groupBy(task).agg(F.sum("n_tokens").alias("n_tokens")).select("task", so_far(Window.orderBy("task")).alias("first"))
+    own = table.select("shard", task, "n_tokens").withColumn("own", so_far(Window.partitionBy("task").orderBy("shard")))
+    bases = own.join(tasks, "task").select("shard", (F.col("first") + F.col("own")).alias("base"))
     rows = C.only(table, "shard", "image").mapInArrow(read_rows, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long, boundary_bits double")
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "boundary_bits")

@@ -3,7 +3,8 @@
 The tokenizer's first split never joins what stands on both sides of a lone space, so a text in which
 no space touches another white-space character falls apart at its spaces into pieces that are encoded
 alike wherever they stand. Each distinct piece of a chunk is encoded once, by the tokenizers library,
-and its ids are copied to all its places; any other text is encoded as a whole.
+and its ids are copied to all its places; any other text, and one with the string of an added token, is
+encoded as a whole.
 """
 
 from __future__ import annotations
@@ -28,22 +29,26 @@ _loaded: dict[str, object] = {}
 
 
 def tokenizer(name: str):
-    """The tokenizer, loaded once in a worker; strings of its special tokens in a text are ordinary text."""
+    """The tokenizer as its file has it, loaded once in a worker: the string of an added token in a text is that token."""
     if name not in _loaded:
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(C.vocabulary(name))
-        found.encode_special_tokens = True
-        _loaded[name] = found
+        _loaded[name] = Tokenizer.from_file(C.vocabulary(name))
     return _loaded[name]
 
 
+def added(tok) -> str:
+    """A pattern of the strings of added tokens, which may join what stands beside a space."""
+    return "|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values())
+
+
 #: Places in a piece where the first split always cuts: round a lone line feed, and between a letter and what is no letter.
 CUTS = re.compile(r"(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z\u00df-\u00f6\u00f8-\u00ff])(?=[!-@\[-`{-~])")
 #: Parts that may be encoded many at once, with a line feed (one id of its own) between them.
 JOINED = re.compile(r" ?\S+").fullmatch
-#: Most parts that a worker remembers; beyond, it starts anew. A bound of memory, without effect on results.
-REMEMBERED = 1_150_000
+#: Most parts that a worker remembers, longest part in characters, and most ids; beyond, it starts anew. Bounds of
+#: memory, without effect on results.
+REMEMBERED, LONGEST, MOST_IDS = 1_150_000, 256, 1 << 23
 
 
 class Memo:
@@ -105,10 +110,12 @@ class Memo:
         size = self.size[parts]
         ids = self.table[C.ragged(self.at[parts], size)]
         total = np.add.reduceat(size, begin) if len(texts) else size
-        whole = {texts[i]: i for i, ps in zip(lost.tolist(), cut, strict=True) if len(ps) > 1 and "\n" not in texts[i]}
+        whole = {texts[i]: i for i, ps in zip(lost.tolist(), cut, strict=True) if len(ps) > 1 and "\n" not in texts[i] and len(texts[i]) <= LONGEST}
         at = np.fromiter(whole.values(), np.int64, len(whole))
         first = self.add(ids[C.ragged((np.cumsum(total) - total)[at], total[at])], total[at])
         self.index.update(zip(whole, range(first, first + len(whole)), strict=True))
+        for p in (p for ps in cut for p in ps if len(p) > LONGEST):
+            self.index.pop(p, None)
         return ids, total
 
 
@@ -118,7 +125,7 @@ _memos: dict[str, Memo] = {}
 def memo(name: str, most: int = REMEMBERED) -> Memo:
     C.remember("tokens", _memos.clear)
     found = _memos[name] if name in _memos else _memos.setdefault(name, Memo(tokenizer(name)))
-    if len(found.index) > most:
+    if len(found.index) > most or found.used > MOST_IDS:
         found.forget()
     return found
 
@@ -130,6 +137,8 @@ def encode(texts: pa.Array, name: str, end: int | None = END, remember: int = RE
     col = C.as_binary(texts).cast(pa.string())
     n = len(col)
     loose = pc.match_substring_regex(col, LOOSE).to_numpy(zero_copy_only=False)
+    if own := added(tok):
+        loose = loose | pc.match_substring_regex(col, own).to_numpy(zero_copy_only=False)
     alone = [e.ids for e in tok.encode_batch_fast(col.filter(pa.array(loose)).to_pylist(), add_special_tokens=False)]
     whole, whole_n = np.array([x for e in alone for x in e], np.uint32), np.array([len(e) for e in alone], np.int64)
     plain = pc.if_else(pa.array(loose), "", col)
