@@ -9,22 +9,28 @@ from WINDOW + STRIDE - 1 levelled bytes (63) on. What is found is carried on to
 item agree, so all of such a part is reported and cut; a segment that fits with edits may take a few bytes beside
 the part along. Letters A-Z and runs of white space are levelled first; spans refer to the bytes of the text as it is.
 
-Items are a small table: they are read in blocks of bounded size, each block indexed and sent to the tasks,
-and for each block there is one pass over the documents. Documents are never shuffled.
-
-Defined cases: null or empty texts and items match nothing; items of fewer than q bytes are not searched and
-those of fewer than ``SHORT`` must occur exactly; equal rows each get their matches; a document without a
-doc_id keeps it null; empty tables give no row; extra columns are ignored.
+Items are read in blocks of bounded size, each indexed and sent to the tasks; some blocks make one pass over the
+documents, which are never shuffled. All blocks look at the text as it is: spans are cut once, at the end, so results
+don't depend on where blocks end.
+
+Defined cases: null or empty texts and items match nothing; items of fewer than ``SHORT`` levelled bytes must occur
+exactly, and those of fewer than q as whole words; equal rows each get their matches; a document without a doc_id keeps
+it null; a very long text is handled by itself; empty tables give no row; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quillon.llm import align
 from quillon.llm import common as C
@@ -34,7 +40,8 @@ Q, SEGMENT, RATE, BAND, SHORT = 8, 96, 0.08, 16, 32
 WINDOW, STRIDE = 48, 16
 #: Bytes that a match may be carried on by to each side, and what a byte that differs costs (one that agrees gives 1).
 REACH, DIFFERS = 64, 4
-BLOCK = 1 << 20
+#: Characters of items of a block, and blocks of a pass.
+BLOCK, PASS = 1 << 18, 4
 #: Bytes of text, and hits, handled at once.
 CHUNK, HITS = 2 << 20, 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
@@ -73,6 +80,8 @@ class Index:
     segment: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    #: Items of fewer than q bytes: by length, their bytes as numbers in order, and the segment of each.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, items: list[tuple[int | None, str | None]], rate: float = RATE) -> Index:
@@ -80,7 +89,7 @@ class Index:
         for no, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             low = level(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-            if len(low) < Q:
+            if not low:
                 continue
             cuts = list(range(0, len(low), SEGMENT))
             if len(cuts) > 1 and len(low) - cuts[-1] < SEGMENT // 2:
@@ -89,10 +98,9 @@ class Index:
             if len(low) > WINDOW:
                 spans |= {(a, a + WINDOW) for a in [*range(0, len(low) - WINDOW, STRIDE), len(low) - WINDOW]}
             for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
-                if b - a >= Q:
-                    pieces.append(low[a:b])
-                    item.append(no)
-                    place.append((total, total + len(low), total + a))
+                pieces.append(low[a:b])
+                item.append(no)
+                place.append((total, total + len(low), total + a))
             whole.append(np.frombuffer(low, np.uint8))
             total += len(low)
         head, tail, begin = np.array(place, np.int64).reshape(-1, 3).T
@@ -104,14 +112,45 @@ class Index:
             segments[i, : len(p)] = np.frombuffer(p, np.uint8)
         gram, seg, place = [], [], []
         for i, p in enumerate(pieces):
-            g = C.eights(np.frombuffer(p, np.uint8))[: len(p) - Q + 1]
+            g = C.eights(np.frombuffer(p, np.uint8))[: max(0, len(p) - Q + 1)]
             gram.append(g), seg.append(np.full(len(g), i)), place.append(np.arange(len(g)))
         gram, seg, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (gram, seg, place))
         gram = gram.astype(np.uint64)
         order, cut = C.grouped(gram)
         seen = np.zeros(1 << 20, bool)
         seen[bucket(gram)] = True
-        return cls(np.array(item, np.int64), np.array([i for i, _ in items], object), segments, whole, head, tail, begin, size, budget, gram[order[cut[:-1]]], cut, seg[order], place[order], seen)
+        short = {}
+        for n in set(size[size < Q].tolist()):
+            own = np.flatnonzero(size == n)
+            code = C.eights(segments[own, :n].reshape(-1))[::n] & low_bytes(n)
+            by = np.argsort(code, kind="stable")
+            short[n] = code[by], own[by]
+        return cls(np.array(item, np.int64), np.array([i for i, _ in items], object), segments, whole, head, tail, begin, size, budget, gram[order[cut[:-1]]], cut, seg[order], place[order], seen, short)
+
+
+def low_bytes(n: int) -> np.uint64:
+    return U64((1 << 8 * n) - 1)
+
+
+def words_found(index: Index, low: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Occurrences of items of fewer than q bytes: whole words, letter for letter."""
+    out = [np.empty((0, 5), np.int64)]
+    inner = (low >= 128) | np.isin(low, np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+    gram = C.eights(low) if index.short else None
+    for n, (code, seg) in index.short.items():
+        name = gram & low_bytes(n)
+        at = np.flatnonzero(np.isin(name, code))
+        row = np.searchsorted(starts, at, side="right") - 1
+        ok = at + n <= starts[row + 1]
+        ok &= (at == starts[row]) | ~inner[at - 1]
+        ok &= (at + n == starts[row + 1]) | ~inner[np.minimum(at + n, len(low) - 1)]
+        at, row = at[ok], row[ok]
+        first, last = (np.searchsorted(code, name[at], side=s) for s in ("left", "right"))
+        many = last - first
+        of = seg[C.ragged(first, many)]
+        at, row = np.repeat(at, many), np.repeat(row, many)
+        out.append(np.stack((row, of, np.zeros(len(of), np.int64), at, at + n), axis=1))
+    return np.concatenate(out)
 
 
 def bucket(gram: np.ndarray) -> np.ndarray:
@@ -174,13 +213,15 @@ def carried(index: Index, low: np.ndarray, at: np.ndarray, text_end: np.ndarray,
 def occurrences(index: Index, low: np.ndarray, starts: np.ndarray, step: int = 4096):
     """Verified occurrences: row, segment, edits, first and last levelled place (end excluded), carried on to both sides."""
     row, seg, diagonal = regions(index, low, starts)
-    out = [np.empty((0, 5), np.int64)]
-    by_size = np.argsort(index.size[seg], kind="stable")
+    out = [words_found(index, low, starts)]
+    by_size = np.lexsort((index.size[seg], index.budget[seg]))
     row, seg, diagonal = row[by_size], seg[by_size], diagonal[by_size]
-    for i in range(0, len(row), step):
-        r, s = row[i : i + step], seg[i : i + step]
-        most = int(index.budget[s].max())
-        width, d = BAND + 3 * most + 1, diagonal[i : i + step] - most
+    change = np.flatnonzero(np.diff(index.budget[seg])) + 1  # the width of a band follows its own budget only
+    cuts = np.union1d(np.arange(0, len(row), step), change).tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(row)], strict=True):
+        r, s = row[i:j], seg[i:j]
+        most = int(index.budget[s[0]])
+        width, d = BAND + 3 * most + 1, diagonal[i:j] - most
         longest = int(index.size[s].max())
         at = d[:, None] + np.arange(longest + width)
         inside = (at >= starts[r][:, None]) & (at < starts[r + 1][:, None])
@@ -209,25 +250,30 @@ OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_segments",
 OUT_DDL = "doc_id long, item_id long, n_segments long, matched_segments long, edits long, start_byte long, end_byte long"
 
 
-def find(batches, index: Index):
-    of_item = np.bincount(index.item, minlength=len(index.of_item))
+def find(batches, indexes: list[Index]):
     for batch in C.chunks(batches, size=CHUNK):
         data, at = C.raw(batch.column("text"))
         low, starts, where = level(data, at)
-        hits = occurrences(index, low, starts)
-        if not len(hits):
-            continue
-        row, seg, cost = hits[:, 0], hits[:, 1], hits[:, 2]
-        begin, end = where[hits[:, 3]] - at[row], where[hits[:, 4] - 1] + 1 - at[row]
-        item = index.item[seg]
-        order = np.lexsort((cost, seg, item, row))
-        row, seg, cost, begin, end, item = (x[order] for x in (row, seg, cost, begin, end, item))
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-        once = new.copy()
-        once[1:] |= seg[1:] != seg[:-1]
-        cut = np.flatnonzero(new)
-        yield C.record(OUT, doc_id=batch.column("doc_id").take(pa.array(row[cut])), item_id=index.of_item[item[cut]].tolist(), n_segments=of_item[item[cut]], matched_segments=np.add.reduceat(once.astype(np.int64), cut), edits=np.add.reduceat(np.where(apart(index, new, seg), cost, 0), cut), start_byte=np.minimum.reduceat(begin, cut), end_byte=np.maximum.reduceat(end, cut))
+        for index in indexes:
+            hits = occurrences(index, low, starts)
+            if len(hits):
+                yield reported(batch, index, hits, where, at)
+
+
+def reported(batch: pa.RecordBatch, index: Index, hits: np.ndarray, where: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A row for each item in a text."""
+    of_item = np.bincount(index.item, minlength=len(index.of_item))
+    row, seg, cost = hits[:, 0], hits[:, 1], hits[:, 2]
+    begin, end = where[hits[:, 3]] - at[row], where[hits[:, 4] - 1] + 1 - at[row]
+    item = index.item[seg]
+    order = np.lexsort((cost, seg, item, row))
+    row, seg, cost, begin, end, item = (x[order] for x in (row, seg, cost, begin, end, item))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    once = new.copy()
+    once[1:] |= seg[1:] != seg[:-1]
+    cut = np.flatnonzero(new)
+    return C.record(OUT, doc_id=batch.column("doc_id").take(pa.array(row[cut])), item_id=index.of_item[item[cut]].tolist(), n_segments=of_item[item[cut]], matched_segments=np.add.reduceat(once.astype(np.int64), cut), edits=np.add.reduceat(np.where(apart(index, new, seg), cost, 0), cut), start_byte=np.minimum.reduceat(begin, cut), end_byte=np.maximum.reduceat(end, cut))
 
 
 def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Index]:
@@ -242,13 +288,20 @@ def blocks(items: DataFrame, size: int = BLOCK) -> Iterator[Index]:
         yield Index.of(held)
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def passes(items: DataFrame, size: int, most: int = PASS) -> Iterator[list[Index]]:
+    """Blocks that go over the documents together."""
+    found = blocks(items, size)
+    while some := list(islice(found, most)):
+        yield some
+
+
+def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id) of each item that occurs in a document, with how many of its segments and windows do, the
     edits in those of them that lie side by side, and the bytes from the first to the last."""
     docs = C.only(docs, "doc_id", "text")
     found = docs.sparkSession.createDataFrame([], OUT_DDL)
-    for index in blocks(items):
-        found = found.unionByName(docs.mapInArrow(lambda b, index=index: find(b, index), OUT_DDL))
+    for some in passes(items, block):
+        found = found.unionByName(docs.mapInArrow(lambda b, some=some: find(b, some), OUT_DDL))
     return found
 
 
@@ -265,27 +318,42 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def clean(batches, index: Index):
+def mark(batches, indexes: list[Index], last: bool):
+    """Rows with the spans found so far in their last column; after the last pass, rows without these spans."""
     for batch in C.chunks(batches, size=CHUNK):
         data, at = C.raw(batch.column("text"))
         low, starts, where = level(data, at)
-        hits = occurrences(index, low, starts)
-        if not len(hits):
-            yield batch
+        own = batch.schema.get_field_index("text")
+        spans = [np.frombuffer(b or b"", "<i8").reshape(-1, 2).tolist() for b in batch.column(batch.num_columns - 1).to_pylist()]
+        for index in indexes:
+            for row, _, _, a, b in occurrences(index, low, starts).tolist():
+                spans[row].append((int(where[a] - at[row]), int(where[b - 1] + 1 - at[row])))
+        if not last:
+            kept = pa.array([np.array(x, "<i8").tobytes() if x else None for x in spans], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], kept], schema=batch.schema)
             continue
-        texts = batch.column("text").to_pylist()
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for row, _, _, a, b in hits.tolist():
-            spans.setdefault(row, []).append((int(where[a] - at[row]), int(where[b - 1] + 1 - at[row])))
-        for row, some in spans.items():
-            texts[row] = cut_spans(texts[row].encode(), some).decode()
-        kept = pa.array([row not in spans or bool(t.strip()) for row, t in enumerate(texts)])
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(texts, batch.schema.field(i).type)).filter(kept)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with all occurrences cut from their texts; a document of which nothing is left goes."""
-    for index in blocks(items):
-        docs = docs.mapInArrow(lambda b, index=index: clean(b, index), docs.schema)
-    return docs
+        some = [i for i, x in enumerate(spans) if x]
+        batch = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+        if some:
+            texts = batch.column("text").to_pylist()
+            for i in some:
+                texts[i] = cut_spans(texts[i].encode(), spans[i]).decode()
+            kept = pa.array([not x or bool(t.strip()) for x, t in zip(spans, texts, strict=True)])
+            batch = batch.set_column(own, batch.schema.field(own), pa.array(texts, batch.schema.field(own).type)).filter(kept)
+        yield batch
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` with all occurrences cut from their texts; a document of which nothing is left goes. Spans are sought in
+    the texts as they are and cut once. All columns stay as they are."""
+    schema, spans = docs.schema, StructType([*docs.schema, StructField(f"spans-{uuid.uuid4().hex}", BinaryType())])
+    groups = list(passes(items, block))
+    if not groups:
+        return docs
+    out = docs.select("*", F.lit(None).cast("binary").alias(spans[-1].name))
+    for i, some in enumerate(groups):
+        last = i == len(groups) - 1
+        out = out.mapInArrow(lambda b, some=some, last=last: mark(b, some, last), schema if last else spans)
+        if i % 2 and not last:  # workers of a pass go before the next ones come
+            out = C.save(out, "marked")
+    return out
