@@ -5,7 +5,8 @@ ratio of the whole text must lie in a band for its length, and so must the ratio
 chunk. Text above a band repeats itself or is strewn with marks; text below one is noise. One pass, no shuffle.
 
 Defined cases: a null text has no words (all counts 0, base_failed); an empty text likewise; a
-repeated row is judged again, with the same result; extra columns are ignored.
+repeated row is judged again, with the same result; a very long text is handled by itself, chunk by chunk; a document
+without a doc_id keeps it null; an empty table gives no row; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,28 +19,47 @@ from pyspark.sql import DataFrame
 from quillon.llm import common as C
 
 #: Length in bytes up to which a band holds, and the least and greatest ratio of a whole text. The greatest are 0.05 above
-#: those of texts labelled clean (sf0.1); none of these is over 32 KB, so the last is wide and chunks judge such texts.
-BANDS = ((512, 1.10, 1.90), (1024, 1.15, 2.03), (2048, 1.20, 2.20), (4096, 1.25, 2.27), (8192, 1.30, 2.39), (32768, 1.35, 2.53), (1 << 62, 1.40, 3.80))
-#: Bytes of a chunk, the least a last chunk needs to be judged by itself, and the band of chunks.
-CHUNK, LEAST, CHUNK_BAND = 4096, 1024, (1.25, 2.31)
+#: those of texts labelled clean (sf0.1), the least some 0.25 below; none of these is over 32 KB, so the last band is wide
+#: and chunks judge such texts.
+BANDS = ((512, 1.15, 1.90), (1024, 1.22, 2.03), (2048, 1.45, 2.20), (4096, 1.65, 2.27), (8192, 1.85, 2.39), (32768, 1.95, 2.53), (1 << 62, 2.00, 3.80))
+#: Bytes of a chunk, and the least a last chunk needs to stand by itself (a shorter one joins the one before).
+CHUNK, LEAST = 4096, 1024
+#: Bands of chunks, by length as above.
+CHUNK_BANDS = ((2048, 1.45, 2.13), (4096, 1.65, 2.31), (1 << 62, 1.65, 2.31))
 MIN_WORDS, REPEAT_SHARE, LEVEL = 50, 50, 3
 SYMBOLS = frozenset(b"#*$%&|<>")
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("chunk_min", pa.float64()), ("chunk_max", pa.float64())])
-DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_min double, chunk_max double"
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("chunk_min", pa.float64()), ("chunk_max", pa.float64()), ("reason", pa.string())])
+DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunk_min double, chunk_max double, reason string"
 
 
 def band(n: int, bands=BANDS) -> tuple[float, float]:
     return next((lo, hi) for most, lo, hi in bands if n <= most)
 
 
-def ratios(text: bytes, compress, chunk: int = CHUNK, least: int = LEAST) -> tuple[float, float, float]:
-    """Ratio of the whole, and the least and greatest ratio of its chunks (of the whole if it has one chunk)."""
-    whole = len(text) / len(compress(text))
-    if len(text) <= chunk:
-        return whole, whole, whole
-    each = [len(p) / len(compress(p)) for i in range(0, len(text), chunk) if len(p := text[i : i + chunk]) >= least]
-    return whole, min(each), max(each)
+def chunked(text: bytes, chunk: int = CHUNK, least: int = LEAST) -> list[bytes]:
+    """All of the text in chunks; a last one that is too short joins the one before."""
+    cuts = list(range(0, len(text), chunk))
+    if len(cuts) > 1 and len(text) - cuts[-1] < least:
+        cuts.pop()
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+def ratios(text: bytes, compress) -> tuple[float, list[tuple[int, float]]]:
+    """Ratio of the whole, and length and ratio of each chunk."""
+    return len(text) / len(compress(text)), [(len(p), len(p) / len(compress(p))) for p in chunked(text)]
+
+
+def verdict(size: int, whole: float, chunks: list[tuple[int, float]], bands=BANDS, chunk_bands=CHUNK_BANDS) -> str:
+    """Why a text goes: its whole or one of its chunks is above its band (repetitive) or below (noise); empty if it stays."""
+    low, high = band(size, bands)
+    if not low <= whole <= high:
+        return "whole above" if whole > high else "whole below"
+    for n, ratio in chunks if len(chunks) > 1 else ():
+        low, high = band(n, chunk_bands)
+        if not low <= ratio <= high:
+            return "chunk above" if ratio > high else "chunk below"
+    return ""
 
 
 def duplicate_lines(text: bytes) -> int:
@@ -74,7 +94,7 @@ def repeated_words(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(rows[covered], minlength=len(starts) - 1)
 
 
-def score(batches, bands=BANDS, chunk_band=CHUNK_BAND, min_words=MIN_WORDS, repeat_share=REPEAT_SHARE):
+def score(batches, bands=BANDS, chunk_bands=CHUNK_BANDS, min_words=MIN_WORDS, repeat_share=REPEAT_SHARE):
     compressor = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
     compress = compressor.compress
     is_symbol, is_space, is_tail = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -87,28 +107,28 @@ def score(batches, bands=BANDS, chunk_band=CHUNK_BAND, min_words=MIN_WORDS, repe
         chars, symbols = sums(~skip), sums(is_symbol)
         repeats = repeated_words(words.codes, words.starts)
         failed = (words.counts < min_words) | (100 * repeats > repeat_share * words.counts)
-        dup, kept, whole, low, high = [], [], [], [], []
-        for text, bad in zip(C.as_binary(batch.column("text")).to_pylist(), failed.tolist(), strict=True):
+        dup, whole, low, high, why = [], [], [], [], []
+        for text, few, bad in zip(C.as_binary(batch.column("text")).to_pylist(), (words.counts < min_words).tolist(), failed.tolist(), strict=True):
             dup.append(duplicate_lines(text))
-            r, lo, hi = ratios(text, compress) if text else (0.0, 0.0, 0.0)
-            least, most = band(len(text), bands)
-            kept.append(not bad and least <= r <= most and (len(text) <= CHUNK or chunk_band[0] <= lo and hi <= chunk_band[1]))
-            whole.append(r), low.append(lo), high.append(hi)
-        yield C.record(OUT, doc_id=batch.column("doc_id"), n_words=words.counts, word_chars=chars, n_symbols=symbols, n_dup_lines=dup, n_repeat_words=repeats, base_failed=failed, kept=kept, ratio=whole, chunk_min=low, chunk_max=high)
+            r, each = ratios(text, compress) if text else (0.0, [(0, 0.0)])
+            why.append("few words" if few else "repeated words" if bad else verdict(len(text), r, each, bands, chunk_bands))
+            whole.append(r), low.append(min(x for _, x in each)), high.append(max(x for _, x in each))
+        yield C.record(OUT, doc_id=batch.column("doc_id"), n_words=words.counts, word_chars=chars, n_symbols=symbols, n_dup_lines=dup, n_repeat_words=repeats, base_failed=failed, kept=[not x for x in why], ratio=whole, chunk_min=low, chunk_max=high, reason=why)
 
 
 def quality(docs: DataFrame, **limits) -> DataFrame:
-    """Counts, ratios and verdict of each document; ``limits`` replace the module's defaults."""
+    """Counts, ratios, verdict and its reason (empty if kept) of each document; ``limits`` replace the module's defaults."""
     return C.only(docs, "doc_id", "text").mapInArrow(lambda batches: score(batches, **limits), DDL)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose verdict is good. The verdict comes from each row's own text, in one pass."""
+    """The rows of ``docs`` whose verdict is good, as they are. The verdict comes from each row's own text, in one pass.
+    Null and empty texts go, as they have no words; an empty table stays empty; extra columns stay, whatever their names."""
     schema = docs.schema
 
     def rows(batches):
         for batch in C.chunks(batches, size=4 << 20):
-            verdict = pa.concat_arrays([b.column("kept") for b in score([batch.select(["doc_id", "text"])])])
-            yield batch.filter(verdict)
+            own = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text")], names=["doc_id", "text"])
+            yield batch.filter(pa.concat_arrays([b.column("kept") for b in score([own])]))
 
     return docs.mapInArrow(rows, schema)
