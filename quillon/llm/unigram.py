@@ -7,8 +7,9 @@ once: an Aho-Corasick automaton yields all pieces that end at each character, an
 best score and number of pieces. Ties go as in the tokenizer: of equal scores the piece that starts first
 stays. A character that is no piece has the least score less 10 and counts as its UTF-8 bytes.
 
-Defined cases: null and empty texts have no tokens and score 0; equal rows get equal results; a document
-without a doc_id keeps it null; an empty table gives no row; extra columns are ignored.
+Defined cases: null and empty texts have no tokens and score 0; equal rows get equal results; a very long unit is
+segmented in one pass and not remembered; a document without a doc_id keeps it null; an empty table gives no row; extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from quillon.llm import common as C
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK, PENALTY = "▁", 10.0
-#: Most units that a worker remembers; beyond, it starts anew. A bound of memory, without effect on results.
-REMEMBERED = 600_000
+#: Most units that a worker remembers, beyond which it starts anew, and the longest. Bounds of memory, without effect on
+#: results.
+REMEMBERED, LONGEST = 600_000, 256
+NO_MATCH = -1, None
 NORMAL, USER_DEFINED = 1, 4
 _counters: dict[str, Counter] = {}
 
@@ -50,6 +53,7 @@ class Counter:
         for p, score in vocabulary:
             self.automaton.add_word(p, (len(p), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min(s for _, s in vocabulary) - PENALTY
         self.forget()
@@ -60,27 +64,30 @@ class Counter:
         self.count: list[int] = []
 
     def segment(self, unit: str) -> tuple[float, int]:
-        n = len(unit)
-        best, count = [0.0] + [None] * n, [0] * (n + 1)
+        """In one pass; of the table only the last places, as many as the longest piece, are kept."""
+        ring = self.longest + 1
+        best, count = [0.0] * ring, [0] * ring
         # matches come by end, the longest first: of equal scores the first to come stays
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(unit):
-            ends[end].append(found)
+        matches = self.automaton.iter(unit)
+        end, match = next(matches, NO_MATCH)
         for i, char in enumerate(unit):
             top, many = None, 0
-            for length, score in ends[i]:
-                start = best[i + 1 - length] + score
+            while end == i:
+                length, score = match
+                at = (i + 1 - length) % ring
+                start = best[at] + score
                 if top is None or start > top:
-                    top, many = start, count[i + 1 - length] + 1
+                    top, many = start, count[at] + 1
+                end, match = next(matches, NO_MATCH)
             if char not in self.single:
-                start = best[i] + self.unknown
+                start = best[i % ring] + self.unknown
                 if top is None or start > top:
-                    top, many = start, count[i] + len(char.encode())
-            best[i + 1], count[i + 1] = top, many
-        return best[n], count[n]
+                    top, many = start, count[i % ring] + len(char.encode())
+            best[(i + 1) % ring], count[(i + 1) % ring] = top, many
+        return best[len(unit) % ring], count[len(unit) % ring]
 
     def of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > REMEMBERED:
+        if len(self.score) > REMEMBERED:
             self.forget()
         get = self.index.get
         at = np.empty(len(units), np.int64)
@@ -88,7 +95,9 @@ class Counter:
             k = get(u)
             if k is None:
                 score, count = self.segment(u)
-                k = self.index[u] = len(self.score)
+                k = len(self.score)
+                if len(u) <= LONGEST:
+                    self.index[u] = k
                 self.score.append(score)
                 self.count.append(count)
             at[i] = k
