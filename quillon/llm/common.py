@@ -10,6 +10,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -100,9 +101,12 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, upon which Spark deletes the shuffles of plans that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver collect its garbage, upon which Spark deletes the shuffles of plans that are gone. The first round
+    lets go of what Python held of the JVM, the second of what that held in turn."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def parts(spark: SparkSession, factor: int = 4) -> int:

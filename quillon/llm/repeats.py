@@ -215,7 +215,7 @@ def sent(units: Units, chunk: int, key: np.ndarray, one: np.ndarray, two: np.nda
     """One row for each name in the chunk: its first place, as a run of n windows, with any others that are just as
     early in ``more``; and a row, of run -1, for all runs that repeat one of the chunk."""
     rule, row = units.rule, units.rows(place)
-    doc, pos = units.docs[row], place - units.starts[row]
+    doc, pos = units.docs[row], place - units.starts[row] if not rule.across else np.zeros(len(row), np.int64)  # across, only documents count
     run = as_run(place, n, offset)
     order = np.lexsort((run, pos, doc, two, one))
     one, two, key, doc, pos, run = (x[order] for x in (one, two, key, doc, pos, run))
