@@ -6,6 +6,8 @@ Regular expressions spell out Unicode classes, so that they mean the same in Spa
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for
 DROPPED = (r"(?is)<!--.*?-->", r"(?is)<!doctype[^>]*>", r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?is)<template\b[^>]*>.*?</template\s*>", r"<(?:\"[^\"]*\"|'[^']*'|[^'\">])*>")
 #: Entities by their text; the ampersand comes last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Any other entity but the ampersand's.
+ENTITY = r"&(?!amp;)(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def replace(c: Column, pattern: str, by: str) -> Column:
@@ -83,13 +87,31 @@ def parse_expansion(c: Column, most: int = 5) -> Column:
     return F.slice(F.filter(parts, lambda p: p != ""), 1, max(1, min(10, most)))
 
 
+def character(entity: Column) -> Column:
+    """The character of an entity, named (HTML 4) or by number; what is none stays."""
+    body = F.substr(entity, F.lit(2), F.length(entity) - 2)
+    digits = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(body.startswith("#"), F.substr(body, F.lit(2))).cast("int")
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in name2codepoint.items() for x in kv)), body)
+    code = F.coalesce(digits, named)
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+
+def unescape(c: Column) -> Column:
+    """The text with its entities as characters."""
+    for entity, text in ENTITIES[:-1]:
+        c = F.replace(c, F.lit(entity), F.lit(text))
+    between, found = F.split(c, ENTITY), F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
+    rest = F.zip_with(F.transform(found, character), F.slice(between, F.lit(2), F.greatest(F.size(between) - 1, F.lit(0))), lambda e, t: F.concat(e, t))
+    entity, text = ENTITIES[-1]
+    return F.replace(F.when(c.rlike(ENTITY), F.concat(between[0], F.array_join(rest, ""))).otherwise(c), F.lit(entity), F.lit(text))
+
+
 def html_to_text(c: Column) -> Column:
     """Text of a page: no separator between blocks, without scripts, styles, templates and comments."""
     for pattern in DROPPED:
         c = replace(c, pattern, "")
-    for entity, text in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(text))
-    return c
+    return unescape(c)
 
 
 def parts_by_size(c: Column, most: int = 512, overlap: int = 50) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,72 +81,177 @@ def database_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return n(documents, "documents").unionByName(n(chunks, "chunks")).unionByName(by)
 
 
-def last_logs(logs: DataFrame, limit: int, order: str = "timestamp") -> DataFrame:
-    return logs.orderBy(F.desc(order)).limit(limit)
+def performance_summary(logs: DataFrame, hours: int = 24, now: str | None = None) -> DataFrame:
+    """One row over the last hours: period_hours, total_queries, four means and queries an hour; none if there are no
+    logs."""
+    stats = log_stats(logs, hours, now)
+    return stats.select(F.lit(hours).alias("period_hours"), "total_queries", "avg_retrieval_time_ms", "avg_rerank_time_ms", "avg_total_time_ms", "avg_results_count", "queries_per_hour")
+
+
+def parsed(df: DataFrame) -> DataFrame:
+    """The metadata column as a map; what is no JSON object of strings is null."""
+    return df.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+
+
+def last_logs(logs: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The last logs by these columns, the latest first."""
+    return logs.orderBy(*(F.desc(c) for c in order or ("timestamp",))).limit(limit)
 
 
 # ---------------------------------------------------------------- tables in a folder
 
 class Store:
-    """Tables under a folder of any file system that Spark reads. A change is written beside the table and
-    takes its place by a rename, so readers see the old rows or the new."""
+    """Tables under a folder of any file system that Spark reads.
+
+    A table is what its log says: a commit is one file, made only if it isn't there, that names the folder of new rows
+    and the parts that these replace. Readers see the rows before a commit or after it, never a mixture, and of two
+    writers that start from the same commit the second gets an error. Documents and chunks are dealt to ``parts`` by a
+    hash of doc_id, and a change writes the parts it touches only. Folders of the commit before the last stay for those
+    who still read them; older ones go."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, parts: int = 64):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    # ------------------------------------------------------------ commits
+
+    def _log(self, name: str) -> list[dict]:
+        """Commits of a table in order: number, folder, parts (none: the whole table), and which of them have rows."""
+        at = self._at(f"{name}/_log")
+        if not self._fs.exists(at):
+            return []
+        files = sorted(s.getPath().toString() for s in self._fs.listStatus(at) if s.getPath().getName().endswith(".json"))
+        return [json.loads(self._read(f)) for f in files]
+
+    def _read(self, path: str) -> str:
+        stream = self._fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, number: int, folder: str, parts: list[int] | None) -> None:
+        filled = [int(s.getPath().getName()[5:]) for s in self._fs.listStatus(self._at(f"{name}/{folder}")) if s.getPath().getName().startswith("part=")]
+        entry = {"number": number, "folder": folder, "parts": parts, "filled": filled}
+        out = self._fs.create(self._at(f"{name}/_log/{number:012d}.json"), False)  # fails if another writer was first
+        try:
+            out.write(bytearray(json.dumps(entry).encode()))
+        finally:
+            out.close()
+        self._vacuum(name)
+
+    def _current(self, log: list[dict]) -> list[str]:
+        """Folders that hold the table's rows after these commits."""
+        whole, of = [], {}
+        for c in log:
+            if c["parts"] is None:
+                whole, of = [c["folder"]], {}
+            else:
+                of |= {p: f"{c['folder']}/part={p}" if p in c["filled"] else None for p in c["parts"]}
+        return whole + [f for f in of.values() if f]
+
+    def _vacuum(self, name: str) -> None:
+        """Delete folders that neither the last commit nor the one before it needs."""
+        log = self._log(name)
+        needed = {f.split("/")[0] for f in self._current(log) + self._current(log[:-1])}
+        for c in log:
+            if c["folder"] not in needed and self._fs.exists(self._at(f"{name}/{c['folder']}")):
+                self._fs.delete(self._at(f"{name}/{c['folder']}"), True)
+
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._at(name))
+        return bool(self._log(name))
 
     def table(self, name: str) -> DataFrame:
-        if self.exists(name):
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        return self.spark.createDataFrame([], SCHEMAS[name])
+        found = [f"{self.path}/{name}/{f}" for f in self._current(self._log(name))]
+        if not found:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return (self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read).parquet(*found)
 
     def write(self, name: str, df: DataFrame) -> None:
         """Replace the table by df, which may read it."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-        self._fs.delete(self._at(f"{name}.old"), True)
-        if self.exists(name):
-            self._fs.rename(self._at(name), self._at(f"{name}.old"))
-        self._fs.rename(self._at(f"{name}.new"), self._at(name))
-        self._fs.delete(self._at(f"{name}.old"), True)
-        self.spark.catalog.refreshByPath(f"{self.path}/{name}")
+        self._write(name, df, None)
+
+    def _write(self, name: str, df: DataFrame, parts: list[int] | None) -> None:
+        log = self._log(name)
+        number = log[-1]["number"] + 1 if log else 0
+        folder = f"v{number}-{uuid.uuid4().hex[:8]}"
+        out = df.write if parts is None else df.withColumn("part", self._part()).repartition("part").write.partitionBy("part")
+        out.parquet(f"{self.path}/{name}/{folder}")
+        self._commit(name, number, folder, parts)
+
+    def _part(self):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+
+    def _change(self, name: str, ids: DataFrame, change) -> None:
+        """Replace the parts that hold these doc_ids by ``change`` of their rows."""
+        touched = sorted(r[0] for r in ids.select(self._part()).distinct().collect())  # at most ``parts`` numbers
+        if not touched:
+            return
+        whole = any(c["parts"] is None for c in self._log(name))  # not yet dealt to parts
+        rows = self.table(name)
+        self._write(name, change(rows if whole else rows.where(self._part().isin(touched))), list(range(self.parts)) if whole else touched)
+
+    # ------------------------------------------------------------ documents and chunks
 
     def upsert_documents(self, documents: DataFrame) -> None:
         now = F.current_timestamp()
         rows = documents.select("doc_id", "source_path", "doc_type", F.md5(F.col("content").cast("binary")).alias("content_hash"), now.alias("created_at"), now.alias("updated_at"), F.to_json("metadata").alias("metadata") if "metadata" in documents.columns else F.lit(None).cast("string").alias("metadata"))
-        self.write("documents", upsert(self.table("documents"), rows, ["doc_id"]))
+        self._change("documents", rows, lambda old: upsert(old, rows, ["doc_id"]))
 
     def upsert_chunks(self, chunks: DataFrame) -> None:
         rows = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "section", "chunk_type", "content", F.md5(F.col("content").cast("binary")).alias("content_hash"), F.current_timestamp().alias("created_at"), F.to_json("metadata").alias("metadata") if "metadata" in chunks.columns else F.lit(None).cast("string").alias("metadata"))
-        self.write("chunks", replace_documents(self.table("chunks"), rows))
+        self._change("chunks", rows, lambda old: replace_documents(old, rows))
 
     def delete_documents(self, ids: DataFrame) -> None:
         """Chunks first, then documents."""
         for name in ("chunks", "documents"):
-            self.write(name, delete(self.table(name), ids))
+            self._change(name, ids, lambda old: delete(old, ids))
 
     def chunks(self) -> DataFrame:
         return with_documents(self.table("chunks"), self.table("documents"))
 
+    def document(self, doc_id: str) -> DataFrame:
+        """The document's row, with its metadata as a map."""
+        return parsed(self.table("documents").where(F.col("doc_id") == doc_id))
+
+    def chunks_of(self, doc_id: str) -> DataFrame:
+        """Its chunks in order, with metadata as a map."""
+        return parsed(self.table("chunks").where(F.col("doc_id") == doc_id)).orderBy("chunk_index")
+
+    def contents(self, keys: DataFrame) -> DataFrame:
+        """Content of (doc_id, chunk_index) pairs."""
+        return lookup(self.table("chunks"), keys).select("doc_id", "chunk_index", "content")
+
+    # ------------------------------------------------------------ logs
+
     def append_log(self, logs: DataFrame) -> None:
         logs.write.mode("append").parquet(f"{self.path}/retrieval_logs")
 
+    def logs(self) -> DataFrame:
+        at = f"{self.path}/retrieval_logs"
+        return self.spark.read.schema(LOGS).parquet(at) if self._fs.exists(self._at("retrieval_logs")) else self.spark.createDataFrame([], LOGS)
+
     def append_jsonl(self, logs: DataFrame, name: str = "retrieval_log") -> None:
         logs.write.mode("append").json(f"{self.path}/{name}.jsonl")
 
+    def log_performance(self, **metrics) -> None:
+        """A record of these figures with the time, in performance_logs.jsonl."""
+        record = self.spark.createDataFrame([(json.dumps(metrics),)], "metrics string")
+        self.append_jsonl(record.select(F.current_timestamp().alias("timestamp"), F.from_json("metrics", "map<string,string>").alias("metrics")), "performance_logs")
+
     def read_jsonl(self, name: str = "retrieval_log", schema: str = LOGS) -> DataFrame:
         return self.spark.read.schema(schema).json(f"{self.path}/{name}.jsonl")
 
+    # ------------------------------------------------------------ indexes
+
     def save_index(self, name: str, df: DataFrame) -> None:
         self.write(f"index_{name}", df)
 
     def load_index(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/index_{name}") if self.exists(f"index_{name}") else None
+        return self.table(f"index_{name}") if self.exists(f"index_{name}") else None
 
     def stats(self) -> dict:
         found = {r["name"]: r["value"] for r in database_stats(self.table("documents"), self.table("chunks")).collect()}
