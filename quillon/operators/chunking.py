@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,23 @@ def sentence_pack(c: Column, most: int = 512, overlap: int = 50) -> Column:
     return F.aggregate(sentences, start, step, finish)
 
 
+def sentence_packs(df: DataFrame, key: str = "doc_id", content: str = "content", most: int = 512, overlap: int = 50) -> DataFrame:
+    """(key, pack_no, pack): ``sentence_pack`` row by row, in Arrow batches, for texts of any length: each sentence is
+    looked at once."""
+    packer = Packer(most, overlap, False)
+
+    def rows(batches):
+        for batch in batches:
+            found = [packer.sentences(t or "") for t in batch.column("content").to_pylist()]
+            n = [len(x) for x in found]
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            number = np.concatenate([np.arange(x, dtype=np.int32) for x in n]) if n else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(number), pa.array([p for x in found for p in x], pa.string())], names=[key, "pack_no", "pack"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(content).alias("content")).mapInArrow(rows, f"{key} {kind}, pack_no int, pack string")
+
+
 # ---------------------------------------------------------------- structure
 
 _SPACE = re.compile("[\t-\r\x1c-\x20\x85\xa0  -     　]+")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,36 @@ def rerank(ranking: DataFrame, top_k: int | None = 10, score: Callable[[Column,
     return ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
 
 
+def rerank_chain(ranking: DataFrame, top_k: int | None, scores: Sequence[Callable[[Column, Column], Column] | None]) -> DataFrame:
+    """Rerankers one after the other: each orders what the one before kept; the first cuts to top_k. None stands for a
+    stage that keeps the order (a language model that isn't there). old_rank is the rank before all of them."""
+    out, first = ranking, True
+    for score in scores:
+        if score is None:
+            out = out if top_k is None else out.where(F.col("rank") <= top_k)
+            continue
+        again = rerank(out if first else out.drop("old_rank"), top_k, score)
+        out = again if first else again.drop("old_rank").join(out.select("qid", "key", "old_rank"), ["qid", "key"])
+        first = False
+    return out.withColumn("old_rank", F.col("rank")) if first else out
+
+
+def model_prompt(query: str, content: str) -> str:
+    """What a language model is asked for a score."""
+    return f"How well does this passage answer the question? Answer with a number from 0 to 10.\n\nQuestion: {query}\n\nPassage: {content}\n\nScore:"
+
+
+def llm_score(client: Callable[[str], str], batch: int = 32):
+    """A column function (query, content) for a language model: client gets a prompt and gives an answer, of which the
+    first number counts (0 if there is none)."""
+
+    def scorer(queries: list[str], contents: list[str]) -> list[float]:
+        answers = [client(model_prompt(q, c)) for q, c in zip(queries, contents, strict=True)]
+        return [float(m[0]) if (m := re.search(r"\d+(?:\.\d+)?", a or "")) else 0.0 for a in answers]
+
+    return model_score(scorer, batch)
+
+
 def rerank_stats(reranked: DataFrame) -> DataFrame:
     """(qid, results, avg_change, max_change, min_change): of places gained."""
     change = F.col("old_rank") - F.col("rank")
@@ -69,6 +100,8 @@ def mmr_select(ranking: DataFrame, top_k: int = 10, balance: float = 0.6) -> Dat
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
+        width = max((len(v) for v in pdf["vector"] if v is not None), default=1)
+        pdf["vector"] = [np.zeros(width) if v is None else v for v in pdf["vector"]]  # no vector: close to nothing
         order = mmr(pdf["score"].to_numpy(), np.stack(pdf["vector"].to_numpy()).astype(np.float64), top_k, balance)
         out = pdf.iloc[order][["qid", "key", "score"]].copy()
         out["rank"] = np.arange(1, len(out) + 1, dtype=np.int32)

@@ -8,6 +8,7 @@ than k rows a query and batch are shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 
-BLOCK = 2048
+BLOCK, MOST_CELLS = 2048, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -62,7 +63,7 @@ SCORED = pa.schema([("qid", pa.int64()), ("key", pa.int64()), ("score", pa.float
 def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(qids, vectors) of at most ``size`` queries at a time."""
     held = []
-    for r in queries.select("qid", "vector").toLocalIterator():
+    for r in queries.select("qid", "vector").where("vector IS NOT NULL").toLocalIterator():
         held.append(r)
         if len(held) == size:
             yield np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
@@ -71,21 +72,34 @@ def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray,
         yield np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
 
 
-def nearest(batches, qids: np.ndarray, q: np.ndarray, k: int, measure: Callable):
+def filled(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that have a vector."""
+    return batch.filter(batch.column("vector").is_valid())
+
+
+def nearest(batches, qids: np.ndarray, q: np.ndarray, k: int, measure: Callable, admitted: Callable | None = None):
+    """Of each batch, one batch of the k best rows for each query. admitted: batch to flags (rows, queries) of the pairs
+    that count."""
     for batch in batches:
-        batch = batch.filter(batch.column("vector").is_valid())
+        batch = filled(batch)
         if not batch.num_rows:
             continue
         key = batch.column("key").to_numpy()
         scores = measure(matrix(batch.column("vector")), q)
-        for j in range(len(qids)):
-            best = np.lexsort((key, -scores[:, j]))[:k] if len(key) <= 4 * k else _few(key, scores[:, j], k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[j])), pa.array(key[best]), pa.array(scores[best, j])], schema=SCORED)
+        if admitted is not None:
+            scores = np.where(admitted(batch), scores, -np.inf)
+        found = [_few(key, scores[:, j], k) for j in range(len(qids))]
+        at, of = np.concatenate(found), np.repeat(np.arange(len(qids)), [len(x) for x in found])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[of]), pa.array(key[at]), pa.array(scores[at, of])], schema=SCORED)
 
 
 def _few(key: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    least = np.partition(score, len(score) - k)[len(score) - k]
-    some = np.flatnonzero(score >= least)
+    """The k best that count, ties by key."""
+    some = np.flatnonzero(score > -np.inf)
+    if len(some) > 4 * k:
+        least = np.partition(score[some], len(some) - k)[len(some) - k]
+        some = some[score[some] >= least]
     return some[np.lexsort((key[some], -score[some]))[:k]]
 
 
@@ -106,70 +120,129 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, measure: Callable
 
 # ---------------------------------------------------------------- inverted file
 
-def centroids(corpus: DataFrame, cells: int, seed: int = 3, per_cell: int = 64, rounds: int = 8) -> np.ndarray:
-    """Centres of ``cells`` k-means cells, fitted on a bounded sample: about ``per_cell`` rows a cell, chosen
-    by a hash of the key."""
+def squares(v: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres, rounded, so that ties are ties."""
+    return np.round((v * v).sum(1)[:, None] + (centre * centre).sum(1) - 2 * v @ centre.T, 9)
+
+
+def centroids(corpus: DataFrame, cells: int | None = None, seed: int = 3, per_cell: int = 64, rounds: int = 8) -> np.ndarray:
+    """Centres of k-means cells, fitted on a bounded sample: about ``per_cell`` rows a cell, chosen by a hash of the key.
+    cells: by default the root of the number of rows, at most ``MOST_CELLS``."""
+    corpus = corpus.where(F.col("vector").isNotNull())
     n = corpus.count()
+    cells = cells or max(1, min(MOST_CELLS, round(n**0.5)))
     share = min(1.0, cells * per_cell / max(n, 1))
     rows = corpus.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)).orderBy("key").select("vector").collect()
     x = np.array([r[0] for r in rows], np.float64)
     if not len(x):
-        return x
+        return x.reshape(0, 0)
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
-        cell = ((x * x).sum(1)[:, None] + (centre * centre).sum(1) - 2 * x @ centre.T).argmin(1)
+        cell = squares(x, centre).argmin(1)
         for c in range(len(centre)):
             if (cell == c).any():
                 centre[c] = x[cell == c].mean(0)
     return centre
 
 
-def nearest_cells(batches, key: str, centre: np.ndarray, n: int):
+def with_cell(batches, centre: np.ndarray):
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        v = matrix(batch.column("vector"))
-        d = (v * v).sum(1)[:, None] + (centre * centre).sum(1) - 2 * v @ centre.T
-        cell = np.argsort(d, axis=1, kind="stable")[:, :n]
-        at = np.repeat(np.arange(len(v)), cell.shape[1])
-        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array(cell.reshape(-1).astype(np.int32)), batch.column("vector").take(pa.array(at))], names=[key, "cell", "vector"])
-
-
-def ivf_search(corpus: DataFrame, queries: DataFrame, k: int = 10, cells: int = 16, probes: int = 10) -> DataFrame:
-    """Approximate search: rows in the ``probes`` cells nearest to a query; all cells give the exact result.
-    Rows and queries meet in an equi-join on the cell, which Spark can split where a cell is large."""
-    centre = centroids(corpus, cells)
-    if not len(centre):  # an empty corpus
-        return search(corpus, queries, k)
-    kind = "array<double>"
-    rows = corpus.select("key", F.col("vector").cast(kind).alias("vector")).mapInArrow(lambda b: nearest_cells(b, "key", centre, 1), f"key long, cell int, vector {kind}")
-    asked = queries.select("qid", F.col("vector").cast(kind).alias("vector")).mapInArrow(lambda b: nearest_cells(b, "qid", centre, min(probes, len(centre))), f"qid long, cell int, vector {kind}")
-    scored = rows.join(asked.withColumnRenamed("vector", "q"), "cell").select("qid", "key", F.round(dot(F.col("vector"), F.col("q")) / (norm(F.col("vector")) * norm(F.col("q"))), 6).alias("score"))
-    return best(scored, k)
+        batch = filled(batch)
+        if batch.num_rows:
+            cell = squares(matrix(batch.column("vector")), centre).argmin(1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("key"), batch.column("vector")], names=["cell", "key", "vector"])
+
+
+@dataclass
+class IvfIndex:
+    """centres (cells, width), and rows (cell, key, vector) sorted by cell."""
+
+    centres: np.ndarray
+    rows: DataFrame
+
+    @classmethod
+    def build(cls, corpus: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, cells: int | None = None, centres: np.ndarray | None = None) -> IvfIndex:
+        """Fit cells to rows (key, vector), unless centres are given, and put each row into the nearest. Rows without a
+        vector stay out. keep: see ``sparse.Bm25Index.build``."""
+        centres = centroids(corpus, cells) if centres is None else centres
+        rows = corpus.select(F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"))
+        dealt = rows.mapInArrow(lambda b: with_cell(b, centres) if len(centres) else iter(()), "cell int, key long, vector array<double>")
+        return cls(centres, keep("cells", dealt.repartitionByRange("cell").sortWithinPartitions("cell", "key")))
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 10, keys: DataFrame | None = None) -> DataFrame:
+        """(qid, key, score, rank): the k rows nearest by cosine in the ``probes`` cells nearest to each query; all cells
+        give the exact result. Cells that no query of a block probes are not read; of a batch, no more than the k best
+        for each query leave the task. keys: search among these (key) only."""
+        rows = self.rows if keys is None else self.rows.join(keys.select("key"), "key", "left_semi")
+        found = rows.sparkSession.createDataFrame([], "qid long, key long, score double")
+        if not len(self.centres):
+            return best(found, k)
+        for qids, q in blocks(queries):
+            probed = np.zeros((len(self.centres), len(qids)), bool)
+            near = np.argsort(squares(q, self.centres), axis=1, kind="stable")[:, :probes]
+            probed[near.T, np.arange(len(qids))] = True
+            wanted = np.flatnonzero(probed.any(axis=1)).tolist()
+            some = rows.where(F.col("cell").isin(wanted)) if len(wanted) < len(self.centres) else rows
+            admitted = lambda batch, probed=probed: probed[batch.column("cell").to_numpy()]
+            found = found.unionByName(some.mapInArrow(lambda b, qids=qids, q=q, admitted=admitted: nearest(b, qids, q, k, cosine, admitted), "qid long, key long, score double"))
+        return best(found, k)
+
+
+def ivf_search(corpus: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probes: int = 10) -> DataFrame:
+    """Approximate search with an index that is built for it alone; see ``IvfIndex``."""
+    return IvfIndex.build(corpus, cells=cells).search(queries, k, probes)
 
 
 # ---------------------------------------------------------------- random planes
 
-def signatures(batches, key: str, planes: np.ndarray):
+@dataclass
+class LshIndex:
+    """Rows (band, bits, key) of the sides of random planes on which a vector lies, and rows (key, vector)."""
+
+    planes: np.ndarray
+    buckets: DataFrame
+    rows: DataFrame
+
+    @classmethod
+    def build(cls, corpus: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, tables: int = 24, bits: int = 8, width: int | None = None, seed: int = 5) -> LshIndex:
+        rows = corpus.select(F.col("key").cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+        if width is None:
+            first = rows.first()
+            width = len(first["vector"]) if first else 0
+        planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
+        signed = rows.mapInArrow(lambda b: signatures(b, "key", planes, 0), "band int, bits long, key long")
+        return cls(planes, keep("buckets", signed.repartitionByRange("band", "bits").sortWithinPartitions("band", "bits")), keep("vectors", rows))
+
+    def search(self, queries: DataFrame, k: int = 10, radius: int = 1, keys: DataFrame | None = None) -> DataFrame:
+        """(qid, key, score, rank): of rows that in some table lie on the query's side of all planes but ``radius``, the k
+        nearest by cosine. Keys alone meet in buckets; vectors are joined with the pairs that are left."""
+        asked, planes = queries.select("qid", F.col("vector").cast("array<double>").alias("q")).where("q IS NOT NULL"), self.planes
+        probes = asked.withColumnRenamed("q", "vector").mapInArrow(lambda b: signatures(b, "qid", planes, radius), "band int, bits long, qid long")
+        pairs = self.buckets.join(probes, ["band", "bits"]).select("qid", "key").distinct()
+        if keys is not None:
+            pairs = pairs.join(keys.select("key"), "key", "left_semi")
+        scored = pairs.join(self.rows, "key").join(asked, "qid").select("qid", "key", F.round(dot(F.col("vector"), F.col("q")) / (norm(F.col("vector")) * norm(F.col("q"))), 6).alias("score"))
+        return best(scored, k)
+
+
+def signatures(batches, key: str, planes: np.ndarray, radius: int):
+    """The bucket of each vector in each table, and those that differ from it in up to ``radius`` planes (0 or 1)."""
+    tables, bits, width = planes.shape
+    flips = np.concatenate(([0], 1 << np.arange(bits) if radius else np.empty(0, np.int64))).astype(np.int64)
     for batch in batches:
+        batch = filled(batch)
         if not batch.num_rows:
             continue
-        bits = np.stack([(matrix(batch.column("vector")) @ p.T > 0) @ (1 << np.arange(len(p))) for p in planes], axis=1)
-        n, tables = bits.shape
-        at = np.repeat(np.arange(n), tables)
-        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(bits.reshape(-1)), batch.column("vector").take(pa.array(at))], names=[key, "band", "bits", "vector"])
-
-
-def lsh_search(corpus: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int = 4, seed: int = 5) -> DataFrame:
-    """Approximate search: rows whose side of ``bits`` random planes is the query's in one of ``tables`` tries."""
-    width = len(queries.select("vector").first()[0])
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, width))
-    kind = "array<double>"
-    sign = lambda df, key: df.select(key, F.col("vector").cast(kind).alias("vector")).mapInArrow(lambda b: signatures(b, key, planes), f"{key} long, band int, bits long, vector {kind}")
-    pairs = sign(corpus, "key").join(sign(queries, "qid").withColumnRenamed("vector", "q"), ["band", "bits"])
-    scored = pairs.groupBy("qid", "key").agg(F.first("vector").alias("v"), F.first("q").alias("q")).select("qid", "key", F.round(dot(F.col("v"), F.col("q")) / (norm(F.col("v")) * norm(F.col("q"))), 6).alias("score"))
-    return best(scored, k)
+        own = np.stack([(matrix(batch.column("vector")) @ p.T > 0) @ (1 << np.arange(bits)) for p in planes], axis=1)
+        all_bits = (own[:, :, None] ^ flips).reshape(len(own), -1)
+        band = np.tile(np.repeat(np.arange(tables, dtype=np.int32), len(flips)), len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(all_bits.reshape(-1)), batch.column(key).take(pa.array(np.repeat(np.arange(len(own)), all_bits.shape[1])))], names=["band", "bits", key])
+
+
+def lsh_search(corpus: DataFrame, queries: DataFrame, k: int = 10, **how) -> DataFrame:
+    """Approximate search with buckets that are made for it alone; see ``LshIndex``."""
+    return LshIndex.build(corpus, **how).search(queries, k)
 
 
 # ---------------------------------------------------------------- encoders
