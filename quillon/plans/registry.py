@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.sources import scratch
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,6 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[Callable[[str, DataFrame], DataFrame]], object]):
+    """An index over the tables of a folder: built by the first query of a session that needs it, in the shared folder,
+    and read by those after it. build gets a function that writes a table under a name and reads it back."""
+    at = spark.sparkContext.applicationId, sf_dir, name
+    if at not in _kept:
+        _kept[at] = build(lambda part, df: scratch.save(df, f"{name}-{part}"))
+    return _kept[at]
+
+
 def strip(x: str) -> str:
     """SQL text for ``text.strip``."""
     return rf"regexp_replace(regexp_replace({x}, '\A{WS}+', ''), '{WS}+\z', '')"

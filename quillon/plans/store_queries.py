@@ -22,13 +22,14 @@ def chunks(spark, sf_dir):
 
 
 def stored(spark, sf_dir):
-    """What a store holds before an update: every second document, a third of them with another content."""
-    d = documents(spark, sf_dir).where("doc_id % 2 = 0")
-    return d.withColumn("content_hash", F.when(F.col("doc_id") % 3 == 0, F.md5(F.concat("content_hash", F.lit("old")))).otherwise(F.col("content_hash")))
+    """What a store holds before an update: documents that have a label, those of quality 0 with another content."""
+    own = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    d = documents(spark, sf_dir).join(own, "doc_id")
+    return d.withColumn("content_hash", F.when(F.col("quality") == 0, F.md5(F.concat("content_hash", F.lit("old")))).otherwise(F.col("content_hash"))).drop("quality")
 
 
 _DOCS = "SELECT doc_id, source AS source_path, 'txt' AS doc_type, md5(text) AS content_hash, lang FROM documents"
-_STORED = f"SELECT doc_id, source_path, doc_type, CASE WHEN doc_id % 3 = 0 THEN md5(content_hash || 'old') ELSE content_hash END AS content_hash, lang FROM ({_DOCS}) WHERE doc_id % 2 = 0"
+_STORED = f"SELECT doc_id, source_path, doc_type, CASE WHEN quality = 0 THEN md5(content_hash || 'old') ELSE content_hash END AS content_hash, lang FROM ({_DOCS}) JOIN labels USING (doc_id)"
 
 
 @query(f"SELECT d.doc_id, d.source_path, d.content_hash FROM ({_DOCS}) d WHERE NOT EXISTS (SELECT 1 FROM ({_STORED}) s WHERE s.doc_id = d.doc_id AND s.content_hash = d.content_hash)")
@@ -41,16 +42,18 @@ def ingest_summary(spark, sf_dir):
     return S.ingest_summary(documents(spark, sf_dir), stored(spark, sf_dir), chunks(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, content_hash FROM ({_DOCS}) WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, content_hash FROM ({_STORED}) WHERE doc_id % 4 <> 0")
+@query(f"SELECT doc_id, content_hash FROM ({_DOCS}) d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) UNION ALL SELECT doc_id, content_hash FROM ({_STORED}) JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)")
 def upsert_documents(spark, sf_dir):
-    new = documents(spark, sf_dir).where("doc_id % 4 = 0")
+    """All documents but the toxic ones into the store: some are new, some replace what is stored, and toxic ones stay."""
+    new = S.delete(documents(spark, sf_dir), table(spark, sf_dir, "labels").where("toxic = 1"))
     return S.upsert(stored(spark, sf_dir), new, ["doc_id"]).select("doc_id", "content_hash")
 
 
-@query(f"SELECT doc_id, chunk_index, md5(content) AS digest FROM ({_PARTS}) WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, chunk_index, md5('new ' || content) FROM ({_PARTS}) WHERE doc_id % 4 = 0 AND chunk_index = 0")
+@query(f"SELECT doc_id, chunk_index, md5(content) AS digest FROM ({_PARTS}) p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id) UNION ALL SELECT doc_id, chunk_index, md5('new ' || content) FROM ({_PARTS}) JOIN labels USING (doc_id) WHERE chunk_index = 0")
 def upsert_chunks(spark, sf_dir):
     old = chunks(spark, sf_dir)
-    new = old.where("doc_id % 4 = 0 AND chunk_index = 0").withColumn("content", F.concat(F.lit("new "), "content"))
+    labelled = old.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    new = labelled.where("chunk_index = 0").withColumn("content", F.concat(F.lit("new "), "content"))
     return S.replace_documents(old, new).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
@@ -115,7 +118,7 @@ def log_window_stats(spark, sf_dir):
 
 @query("SELECT event_id, event_type AS query FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def recent_logs(spark, sf_dir):
-    return logs(spark, sf_dir).orderBy(F.desc("timestamp"), F.desc("event_id")).limit(100).select("event_id", "query")
+    return S.last_logs(logs(spark, sf_dir), 100, "timestamp", "event_id").select("event_id", "query")
 
 
 @query(f"SELECT 'documents' AS name, count(*) AS value FROM documents UNION ALL SELECT 'chunks', count(*) FROM ({_PARTS}) UNION ALL SELECT 'chunks_' || CASE WHEN chunk_index = 0 THEN 'text' ELSE 'more' END, count(*) FROM ({_PARTS}) GROUP BY 1")
@@ -129,7 +132,8 @@ def chunk_count(spark, sf_dir):
     return chunks(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, count(*) AS queries, round(avg(value * 1.5), 9) AS avg_total_time_ms FROM events GROUP BY 1")
+@query("""WITH r AS (SELECT user_id % 10 AS c, value AS v FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS)
+SELECT 24 AS period_hours, count(*) AS total_queries, round(avg(v), 9) AS avg_retrieval_time_ms, round(avg(v / 2), 9) AS avg_rerank_time_ms, round(avg(v * 1.5), 9) AS avg_total_time_ms, round(avg(c), 9) AS avg_results_count, round(count(*) / 24.0, 9) AS queries_per_hour FROM r""")
 def performance_summary(spark, sf_dir):
-    by = logs(spark, sf_dir).groupBy(F.date_trunc("hour", "timestamp").alias("start"))
-    return by.agg(F.count("*").alias("queries"), F.round(F.avg("total_time_ms"), 9).alias("avg_total_time_ms")).select(F.col("start").cast("timestamp_ntz").alias("start"), "queries", "avg_total_time_ms")
+    found = logs(spark, sf_dir)
+    return S.performance_summary(found, 24, str(found.agg(F.max("timestamp").cast("string")).first()[0]))

@@ -87,7 +87,7 @@ tail AS (SELECT doc_id, n, k, {strip('substr(open, CAST(k * 462 + 1 AS BIGINT),
 every AS (SELECT doc_id, n - 1 AS n, 0 AS k, done AS pack FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, n, k, pack FROM tail WHERE pack <> '')
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS INTEGER) AS pack_no, md5(pack) AS digest FROM every""")
 def sentence_pack(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentence_pack(F.col("content"))).alias("pack_no", "pack")).select("doc_id", "pack_no", F.md5("pack").alias("digest"))
+    return chunking.sentence_packs(docs(spark, sf_dir)).select("doc_id", "pack_no", F.md5("pack").alias("digest"))
 
 
 @query(rf"""SELECT doc_id, CASE WHEN len(w) > 50 THEN array_to_string(w[len(w) - 49 : len(w)], ' ') || ' ' ELSE right(text, 100) END AS tail FROM (SELECT doc_id, text, {words('text')} AS w FROM documents)""")
