@@ -6,10 +6,7 @@ memory does not depend on the size of a partition. Words are ``[^\\x20\\x09-\\x0
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -21,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import shared_dir
+
 CHUNK_BYTES = 6 << 20
 U64 = np.uint64
 GOLD, MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -28,24 +27,6 @@ GOLD, MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D04
 
 # ---------------------------------------------------------------- storage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a new one if all run on this machine
-    (tests), and else an error, as executors would each write to a disk of their own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        own = tempfile.mkdtemp(prefix="quillon-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = "file://" + own
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
 def save(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. ``by``: a column of
     row kinds, each written to a folder of its own so that readers of one kind skip the others."""
