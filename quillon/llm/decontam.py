@@ -214,6 +214,8 @@ def occurrences(index: Index, low: np.ndarray, starts: np.ndarray, step: int = 4
     """Verified occurrences: row, segment, edits, first and last levelled place (end excluded), carried on to both sides."""
     row, seg, diagonal = regions(index, low, starts)
     out = [words_found(index, low, starts)]
+    if not len(row):
+        return out[0]
     by_size = np.lexsort((index.size[seg], index.budget[seg]))
     row, seg, diagonal = row[by_size], seg[by_size], diagonal[by_size]
     change = np.flatnonzero(np.diff(index.budget[seg])) + 1  # the width of a band follows its own budget only
