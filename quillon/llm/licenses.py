@@ -207,6 +207,8 @@ def candidates(index: Index, words: C.Words) -> tuple[np.ndarray, np.ndarray, np
 def aligned(index: Index, words: C.Words, covered: float) -> tuple[np.ndarray, ...]:
     """Row, template, matched words, first and last word (end excluded) of alignments that cover enough."""
     row, template, first = candidates(index, words)
+    if not len(row):
+        return tuple(np.empty((5, 0), np.int64))
     by = np.argsort(index.size[template], kind="stable")
     row, template, first = row[by], template[by], first[by]
     change = np.flatnonzero(np.diff(index.band[template])) + 1
