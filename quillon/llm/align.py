@@ -48,8 +48,8 @@ def edits(pattern: np.ndarray, size: np.ndarray, text: np.ndarray, width: int) -
 
 
 def local(pattern: np.ndarray, size: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best local alignment of each pair (1 for a match, -1 for anything else): matched items, first and
-    last place in the text (end excluded)."""
+    """The best local alignment of each pair (2 for a match, -1 for anything else, so that a lone change near an end
+    doesn't cut it short): matched items, first and last place in the text (end excluded)."""
     n, longest = pattern.shape
     score, matched = np.zeros((n, width), np.int32), np.zeros((n, width), np.int32)
     begin = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
@@ -57,7 +57,7 @@ def local(pattern: np.ndarray, size: np.ndarray, text: np.ndarray, width: int) -
     rows = np.arange(n)
     for i in range(1, longest + 1):
         hit = (pattern[:, i - 1 : i] == text[:, i - 1 : i - 1 + width]) & (size >= i)[:, None]
-        same, same_matched = score + np.where(hit, 1, -1), matched + hit
+        same, same_matched = score + np.where(hit, 2, -1), matched + hit
         skip, skip_matched, skip_begin = (np.zeros((n, width), np.int32) for _ in range(3))
         skip[:, :-1], skip_matched[:, :-1], skip_begin[:, :-1] = score[:, 1:] - 1, matched[:, 1:], begin[:, 1:]
         take = skip > same

@@ -68,9 +68,9 @@ def gnu_templates() -> list[tuple[str, str]]:
         for v in versions:
             spdx = f"{kind}-{v if '.' in v else v + '.0'}"
             out += [(f"{spdx}-or-later", GNU_NOTICE.format(name=name, version=f"either version {v} of the License, or (at your option) any later version"))]
-            out += [(f"{spdx}-or-later", f"licensed under the GNU {name}, version {v} or later")]
+            out += [(f"{spdx}-or-later", f"licensed under the GNU {name}, version {v} or later"), (f"{spdx}-or-later", f"GNU {name}, version {v} or later")]
             out += [(spdx, GNU_NOTICE.format(name=name, version=f"version {v} of the License"))]
-            out += [(spdx, f"This work is licensed under the GNU {name}, version {v}.")]
+            out += [(spdx, f"GNU {name}, version {v}"), (spdx, f"This work is licensed under the GNU {name}, version {v}.")]
     return out
 
 
@@ -79,7 +79,7 @@ def commons_templates() -> list[tuple[str, str]]:
     out = []
     for short, long in COMMONS.items():
         for v, port in COMMONS_VERSIONS.items():
-            out += [(f"CC-{short}-{v}", f"This work is licensed under a Creative Commons {long} {v} {port} License."), (f"CC-{short}-{v}", f"Licensed under CC {short} {v}.")]
+            out += [(f"CC-{short}-{v}", f"Creative Commons {long} {v}"), (f"CC-{short}-{v}", f"This work is licensed under a Creative Commons {long} {v} {port} License."), (f"CC-{short}-{v}", f"Licensed under CC {short} {v}.")]
     return out
 
 
@@ -92,8 +92,10 @@ TEMPLATES = (
     ("BSD", BSD_GRANT),
     ("ISC", ISC),
     ("Apache-2.0", APACHE),
+    ("Apache-2.0", "Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MPL-2.0", MPL),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", UNLICENSE),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal."),
