@@ -326,7 +326,7 @@ def mark(batches, indexes: list[Index], last: bool):
         data, at = C.raw(batch.column("text"))
         low, starts, where = level(data, at)
         own = batch.schema.get_field_index("text")
-        spans = [np.frombuffer(b or b"", "<i8").reshape(-1, 2).tolist() for b in batch.column(batch.num_columns - 1).to_pylist()]
+        spans = [list(map(tuple, np.frombuffer(b or b"", "<i8").reshape(-1, 2).tolist())) for b in batch.column(batch.num_columns - 1).to_pylist()]
         for index in indexes:
             for row, _, _, a, b in occurrences(index, low, starts).tolist():
                 spans[row].append((int(where[a] - at[row]), int(where[b - 1] + 1 - at[row])))

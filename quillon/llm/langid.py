@@ -5,10 +5,11 @@ response of each filter is kept, and a softmax layer names the language. A text
 windows, all of it; its language has the greatest probability summed over windows, weighted by their bytes.
 
 The network is fitted on a bounded sample: at most ``PER_LANG`` windows of each language, chosen by a hash of
-doc_id among the labelled documents that a caller admits. Neither lang, source nor doc_id is an input.
+doc_id and text among the labelled documents that a caller admits. Neither lang, source nor doc_id is an input.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without labelled documents all
-are; equal rows get equal results; an empty table gives no row; extra columns are ignored.
+are; equal rows get equal results; a very long text is read window by window; a document without a doc_id is not held
+out; an empty table gives no row; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common as C
 
-#: Most training windows of a language, bytes of a window, and the network's and training's sizes.
-PER_LANG, WINDOW = 800, 192
+#: Most training windows of a language and of all, bytes of a window, and the network's and training's sizes.
+PER_LANG, IN_ALL, WINDOW = 800, 100_000, 192
 EMBED, WIDTHS, FILTERS, EPOCHS, BATCH, RATE = 6, (2, 3, 4), 16, 8, 64, 0.01
 LEAST = 12
 NO_LETTER = "und"
@@ -114,17 +115,19 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 7) -> Network:
 
 
 def sample(docs: DataFrame, admitted: Column, per_lang: int = PER_LANG, seed: int = 11) -> tuple[list[bytes], list[str]]:
-    """Windows of admitted documents with their languages: about ``per_lang`` of each at most, by a hash of
-    doc_id, each from a place in the text that the hash picks."""
+    """Windows of admitted documents with their languages: about ``per_lang`` of each at most (fewer, if there are so many
+    languages that this gives more than ``IN_ALL``), by a hash of doc_id and text, each from a place in the text that
+    the hash picks; repeated rows count once."""
     rows = docs.where(admitted & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
-    h = F.xxhash64("doc_id", F.lit(seed))
+    per_lang = max(1, min(per_lang, IN_ALL // len(counts)))
+    h = F.xxhash64("doc_id", "text", F.lit(seed))
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n)))), F.col("lang"))
     size = F.length("text")
     at = F.pmod(F.shiftright(h, 20), F.greatest(size - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    taken = rows.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)).select("doc_id", "lang", F.substring("text", at, F.lit(WINDOW)).alias("t")).collect()
+    taken = rows.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)).select("doc_id", "lang", F.substring("text", at, F.lit(WINDOW)).alias("t")).distinct().collect()
     taken.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["t"]))
     taken = [r for r in taken if any(c.isalpha() for c in r["t"])]
     return [r["t"].encode() for r in taken], [r["lang"] for r in taken]

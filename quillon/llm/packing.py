@@ -9,7 +9,8 @@ to sequences from s on, at offset o. Pieces are ranked among those of their leng
 no piece is gathered anywhere and a length that most pieces share is no hot key.
 
 Defined cases: a null or empty text is one piece holding the end id; a text that fills whole sequences has
-only full pieces; equal rows are packed each; an empty table gives no row; extra columns are ignored.
+only full pieces; equal rows are packed each; a document without a doc_id keeps it null; a very long text is encoded
+by itself; an empty table gives no row; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

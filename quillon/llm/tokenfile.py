@@ -11,7 +11,8 @@ Images are written by Spark's own writer, one row each, so that lost executors l
 any store that Spark writes to will do.
 
 Defined cases: a null or empty text has just the end id; documents without a doc_id come first; equal
-doc_ids stay, ordered by text; an empty table gives no shard; extra columns are ignored.
+doc_ids stay, ordered by text; a very long text is encoded by itself; an empty table gives no shard; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

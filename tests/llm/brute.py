@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import zstandard
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -27,6 +29,34 @@ def counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, sum(hit), len(w) < 50 or 100 * sum(hit) > 50 * len(w)
 
 
+def good(text, bands, chunk_bands):
+    """Base rules and bands, written plainly."""
+    if counts(text)[-1]:
+        return False
+    compress = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress
+    inside = lambda p, table: next(low <= len(p) / len(compress(p)) <= high for n, low, high in table if len(p) <= n)
+    t = text.encode()
+    parts = []
+    while t and len(t) > 4096:
+        cut = 4096 if len(t) - 4096 >= 1024 else len(t)
+        parts.append(t[:cut])
+        t = t[cut:]
+    if t:
+        parts.append(t)
+    return inside(text.encode(), bands) and (len(parts) < 2 or all(inside(p, chunk_bands) for p in parts))
+
+
+def local(pattern, text):
+    """The best score of a local alignment: 2 for a match, -1 for anything else."""
+    before, best = [0] * (len(text) + 1), 0
+    for a in pattern:
+        now = [0]
+        for j, b in enumerate(text, 1):
+            now.append(max(0, before[j - 1] + (2 if a == b else -1), before[j] - 1, now[-1] - 1))
+        best, before = max(best, *now), now
+    return best
+
+
 def without_words(rows, size):
     """doc_id: n_words, n_removed, digest. rows: (doc_id, text), ids without repeats."""
     seen, out = set(), {}

@@ -5,7 +5,6 @@ import re
 
 import corpus_pipeline as P
 import pytest
-import zstandard
 
 from quillon.llm import common as C
 from quillon.llm import decontam, quality, repeats
@@ -17,15 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def good_by_bands(text):
-    """Base rules and bands, written plainly."""
-    compress = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress
-    if brute.counts(text)[-1]:
-        return False
-    t = text.encode()
-    low, high = next((a, b) for n, a, b in quality.BANDS if len(t) <= n)
-    parts = [t[i : i + 4096] for i in range(0, len(t), 4096) if len(t) > 4096 and len(t) - i >= 1024]
-    inside = lambda p, a, b: a <= len(p) / len(compress(p)) <= b
-    return inside(t, low, high) and all(inside(p, *quality.CHUNK_BAND) for p in parts)
+    return brute.good(text, quality.BANDS, quality.CHUNK_BANDS)
 
 
 @pytest.mark.parametrize("sf,least", [("sf0.001", 3), ("sf0.01", 16)])
