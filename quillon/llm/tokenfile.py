@@ -8,7 +8,7 @@ constant time. No table of 64-bit offsets is stored.
 
 Documents are dealt to shards by range of doc_id and sorted, so shards in order hold ascending doc_ids.
 Images are written by Spark's own writer, one row each, so that lost executors leave no broken shard and
-any store that Spark writes to will do.
+any store that Spark writes to will do; ``export`` makes plain files of them, which ``Shard.open`` maps and seeks in.
 
 Defined cases: a null or empty text has just the end id; documents without a doc_id come first; equal
 doc_ids stay, ordered by text; a very long text is encoded by itself; an empty table gives no shard; extra columns,
@@ -17,11 +17,14 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import mmap
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,17 +141,25 @@ def image(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> byt
 
 
 class Shard:
-    """A shard image, read."""
+    """A shard image: bytes, or a file's map in memory, of which only what is asked for is read."""
 
-    def __init__(self, b: bytes):
-        magic, self.n, nulls, total, wide = HEADER.unpack_from(b, 0)
+    def __init__(self, b):
+        magic, self.n, self.nulls, total, wide = HEADER.unpack_from(b, 0)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        (base,) = struct.unpack_from("<q", b, HEADER.size)
+        (self.base,) = struct.unpack_from("<q", b, HEADER.size)
         self.ids = np.frombuffer(b, f"<u{wide}", total, HEADER.size + 8)
         self.starts, at = EliasFano.read(b, HEADER.size + 8 + self.ids.nbytes)
-        spans, _ = EliasFano.read(b, at)
-        self.doc_ids = [None] * nulls + [base + int(x) for x in spans.all().astype(np.uint64)]
+        self.spans, _ = EliasFano.read(b, at)
+
+    @classmethod
+    def open(cls, path: str) -> Shard:
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return [None] * self.nulls + [self.base + int(x) for x in self.spans.all().astype(np.uint64)]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.starts.select(i) : self.starts.select(i + 1)]
@@ -190,6 +201,25 @@ def write(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int | None
     return C.save(images, "token-shards")
 
 
+def export(table: DataFrame, folder: str) -> DataFrame:
+    """Write each image of a table of shards to a binary file of its own in a folder that all executors reach by its URI;
+    the table of files (shard, path, n_bytes). A file gets its name when it is whole, so a lost executor leaves no broken
+    shard and a task that runs again replaces what it wrote."""
+
+    def files(batches):
+        store, base = FileSystem.from_uri(folder)
+        for batch in batches:
+            for number, image_ in zip(batch.column("shard").to_pylist(), batch.column("image").to_pylist(), strict=True):
+                path = f"{base}/shard-{number:016x}.tokens"
+                own = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(image_)
+                store.move(own, path)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path]), pa.array([len(image_)])], names=["shard", "path", "n_bytes"])
+
+    return C.save(table.select("shard", "image").mapInArrow(files, "shard long, path string, n_bytes long"), "token-files")
+
+
 ROWS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("boundary_bits", pa.float64())])
 
 

@@ -72,6 +72,21 @@ def test_added_tokens(spark):
         assert got[i]["ids_crc32"] == zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4"))
 
 
+def test_files_of_shards(spark, tmp_path):
+    """Plain files, in order of their names, hold the documents in order; each is found by select in the file's map."""
+    rows = [(i, " ".join(f"t{i} {j}" for j in range(i % 40))) for i in range(300)]
+    table = tokenfile.write(odd(spark, rows, 3), most=2000)
+    written = tokenfile.export(table, f"file://{tmp_path}").orderBy("shard").collect()
+    tok, seen = Tokenizer.from_file(C.vocabulary(BPE)), []
+    for f in written:
+        shard = tokenfile.Shard.open(f["path"])
+        assert f["n_bytes"] == len(open(f["path"], "rb").read())
+        for i in reversed(range(shard.n)):
+            assert shard.document(i).tolist() == [*tok.encode(rows[shard.doc_ids[i]][1], add_special_tokens=False).ids, 2]
+        seen += shard.doc_ids
+    assert seen == list(range(300)) and sorted(p.name for p in tmp_path.iterdir()) == [f["path"].rsplit("/", 1)[1] for f in written]
+
+
 @pytest.mark.parametrize("values", [[0], [7] * 600, list(range(0, 5000, 3)), [0, 1 << 20, 1 << 41], sorted(random.Random(2).choices(range(10**7), k=3000))])
 def test_select_many(values):
     e = tokenfile.EliasFano.of(np.array(values))
