@@ -1,7 +1,7 @@
 """Dense retrieval: exact search by blocks, inverted-file search, hashing by random planes, encoders.
 
-Query vectors are read in blocks of bounded size; each block goes with the tasks of one pass over the corpus,
-where a matrix product scores it against Arrow batches. A batch keeps its k best for each query, so no more
+Query vectors are read in blocks of bounded size; blocks of up to ``PASS_BYTES`` go with the tasks of one pass over the
+corpus, where a matrix product scores each against Arrow batches. A batch keeps its k best for each query, so no more
 than k rows a query and batch are shuffled.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 
-BLOCK, MOST_CELLS = 2048, 4096
+#: Queries scored at once, bytes of query vectors that go with a task, and most cells of an inverted file.
+BLOCK, PASS_BYTES, MOST_CELLS = 2048, 32 << 20, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -113,11 +114,29 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, measure: Callable
     Exact. Filter the corpus before to search a part of it."""
     rows = corpus.select(F.col("key").cast("long").alias("key"), "vector")
     found = corpus.sparkSession.createDataFrame([], "qid long, key long, score double")
-    for qids, q in blocks(queries):
-        found = found.unionByName(rows.mapInArrow(lambda b, qids=qids, q=q: nearest(b, qids, q, k, measure), "qid long, key long, score double"))
+    for some in passes(queries):
+        found = found.unionByName(rows.mapInArrow(lambda b, some=some: nearest_of_each(b, some, k, measure), "qid long, key long, score double"))
     return best(found, k)
 
 
+def passes(queries: DataFrame) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Blocks of queries that go over the corpus together: as many as ``PASS_BYTES`` of vectors."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for block in blocks(queries):
+        if held and sum(q.nbytes for _, q in held) + block[1].nbytes > PASS_BYTES:
+            yield held
+            held = []
+        held.append(block)
+    if held:
+        yield held
+
+
+def nearest_of_each(batches, some: list[tuple[np.ndarray, np.ndarray]], k: int, measure: Callable):
+    for batch in batches:
+        for qids, q in some:
+            yield from nearest([batch], qids, q, k, measure)
+
+
 # ---------------------------------------------------------------- inverted file
 
 def squares(v: np.ndarray, centre: np.ndarray) -> np.ndarray:

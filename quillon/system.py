@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +38,10 @@ def compare_backends() -> list[dict[str, str]]:
 class RetrievalSystem:
     """Hybrid retrieval over a store. encoder: see ``vector.encode``, and width that of its vectors; score: see
     ``rerank.rerank``, and second_score a reranker after it; expander: a function from a query to other wordings or
-    keywords, each searched by itself; pdf: a function from a PDF's bytes to its text."""
+    keywords, each searched by itself; pdf: a function from a PDF's bytes to its text; log_every: queries whose logs are
+    written together (those not yet written are when statistics are asked for, and at close)."""
 
-    def __init__(self, spark: SparkSession, path: str, backend: str = "flat", sparse_kind: str = "bm25", encoder: Callable | None = None, score: Callable = rerank.lexical_score, second_score: Callable | None = None, expander: Callable[[str], list[str]] | None = None, pdf: Callable[[bytes], str] | None = None, width: int = 64, chunk_size: int = 512, overlap: int = 50, top_k: int = 5, rerank_top_k: int = 10, multiplier: int = 2, adaptive: bool = True, use_mmr: bool = False, mmr_balance: float = 0.6, max_tokens: int = context.MAX_TOKENS, cache_size: int = 1000, cache_ttl: float = 3600):
+    def __init__(self, spark: SparkSession, path: str, backend: str = "flat", sparse_kind: str = "bm25", encoder: Callable | None = None, score: Callable = rerank.lexical_score, second_score: Callable | None = None, expander: Callable[[str], list[str]] | None = None, pdf: Callable[[bytes], str] | None = None, width: int = 64, chunk_size: int = 512, overlap: int = 50, top_k: int = 5, rerank_top_k: int = 10, multiplier: int = 2, adaptive: bool = True, use_mmr: bool = False, mmr_balance: float = 0.6, max_tokens: int = context.MAX_TOKENS, log_every: int = 1, cache_size: int = 1000, cache_ttl: float = 3600):
         if backend not in BACKENDS or sparse_kind not in ("bm25", "tfidf"):
             raise ValueError(f"backend is one of {sorted(BACKENDS)}, sparse_kind bm25 or tfidf")
         self.spark, self.store, self.backend, self.sparse_kind = spark, S.Store(spark, path), backend, sparse_kind
@@ -47,6 +49,7 @@ class RetrievalSystem:
         self.scores = [score, *([second_score] if second_score else [])]
         self.chunk_size, self.overlap, self.top_k, self.rerank_top_k, self.multiplier, self.adaptive = chunk_size, overlap, top_k, rerank_top_k, multiplier, adaptive
         self.use_mmr, self.mmr_balance, self.max_tokens = use_mmr, mmr_balance, max_tokens
+        self.log_every, self.unwritten = log_every, []
         self.cache, self.embeddings, self.loaded = K.Cache(cache_size, cache_ttl), K.Cache(cache_size, None), None
 
     # ------------------------------------------------------------ ingestion
@@ -237,7 +240,9 @@ class RetrievalSystem:
         found.unpersist()
         ms = (time.monotonic() - began) * 1000
         out = {"query": text, "context": whole, "prompts": {"system": context.SYSTEM_CITING, "user": f"Context:\n{whole}\n\nQuestion: {text}\n\n{context.ASK_CITING}"}, "results": results, "stats": {"results_count": len(results), "total_time_ms": ms, "from_cache": False}}
-        self.store.append_log(self.spark.range(1).select(F.current_timestamp().alias("timestamp"), F.lit(text).alias("query"), T.normalize_query(F.lit(text)).alias("normalized_query"), F.lit(len(results)).alias("results_count"), F.lit(ms).alias("retrieval_time_ms"), F.lit(0.0).alias("rerank_time_ms"), F.lit(ms).alias("total_time_ms"), F.lit(None).cast("string").alias("metadata")))
+        self.unwritten.append((datetime.now(timezone.utc), text, len(results), ms))
+        if len(self.unwritten) >= self.log_every:
+            self.write_logs()
         self.cache.put(k, out)
         return out
 
@@ -249,7 +254,16 @@ class RetrievalSystem:
 
     # ------------------------------------------------------------ statistics
 
+    def write_logs(self) -> None:
+        """Append the logs of queries answered since the last time, in one file."""
+        if not self.unwritten:
+            return
+        rows = self.spark.createDataFrame(self.unwritten, "timestamp timestamp, query string, results_count int, ms double")
+        self.store.append_log(rows.select("timestamp", "query", T.normalize_query(F.col("query")).alias("normalized_query"), "results_count", F.col("ms").alias("retrieval_time_ms"), F.lit(0.0).alias("rerank_time_ms"), F.col("ms").alias("total_time_ms"), F.lit(None).cast("string").alias("metadata")).coalesce(1))
+        self.unwritten = []
+
     def stats(self, hours: int = 24) -> dict:
+        self.write_logs()
         logs = S.log_stats(self.store.logs(), hours).collect()
         return {"database": self.store.stats(), "retrieval": logs[0].asDict() if logs else {}, "config": {"backend": self.backend, "sparse": self.sparse_kind, "chunk_size": self.chunk_size, "overlap": self.overlap, "top_k": self.top_k, "rerank_top_k": self.rerank_top_k}, "cache": self.cache.stats()}
 
@@ -269,6 +283,7 @@ class RetrievalSystem:
 
     def performance_summary(self, hours: int = 24) -> dict:
         """Means over the queries of the last hours; empty if there were none."""
+        self.write_logs()
         found = S.performance_summary(self.store.logs(), hours).collect()
         return found[0].asDict() if found else {}
 
@@ -282,6 +297,7 @@ class RetrievalSystem:
             cache.reset_stats()
 
     def close(self) -> None:
+        self.write_logs()
         self.cache.clear()
         self.embeddings.clear()
 
