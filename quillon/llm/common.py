@@ -29,45 +29,61 @@ GOLD, MIX1, MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D04
 
 def save(df: DataFrame, name: str, by: str | None = None, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared folder and read it back. ``by``: a column of
-    row kinds, each written to a folder of its own so that readers of one kind skip the others."""
+    row kinds, each written to a folder of its own so that readers of one kind skip the others. The table goes with the
+    innermost ``Scratch`` that is open, or else stays; ``saved_at`` is its folder."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].paths.append(path)
     out = df.write.option("compression", codec)
     if by:
         out = out.partitionBy(by)
     out.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    found.saved_at = path
+    return found
+
+
+_open: list[Scratch] = []
 
 
 class Scratch:
-    """Tables in the shared folder that are deleted when the work they served is done."""
+    """Tables that are saved while it is open are deleted when it closes, as the work they served is done."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.tables = spark, [], []
 
     def __enter__(self) -> Scratch:
+        _open.append(self)
         return self
 
-    def path(self, name: str) -> str:
-        self.paths.append(f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
-        return self.paths[-1]
-
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Cut lineage, as ``save`` does."""
-        schema, path = df.schema, self.path(name)
-        df.write.option("compression", codec).parquet(path)
+        """Cut lineage, and let go of what led to the table."""
+        found = save(df, name, codec=codec)
+        del df
         free(self.spark)
-        return self.spark.read.schema(schema).parquet(path)
+        return found
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Save what is to stay (until an outer one closes)."""
+        found = save(df, name)
+        self.paths.remove(found.saved_at)
+        if len(_open) > 1:
+            _open[-2].paths.append(found.saved_at)
+        return found
 
     def deal(self, df: DataFrame, by: str, name: str) -> DataFrame:
         """Write rows bucketed by a column, so that later joins on it leave them in place."""
         n, table = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
-        df.repartition(n, by).write.bucketBy(n, by).option("path", self.path(name)).option("compression", "none").saveAsTable(table)
+        self.paths.append(f"{shared_dir(self.spark)}/{table}")
+        df.repartition(n, by).write.bucketBy(n, by).option("path", self.paths[-1]).option("compression", "none").saveAsTable(table)
         self.tables.append(table)
+        del df
         free(self.spark)
         return self.spark.table(table)
 
     def __exit__(self, *_) -> None:
+        _open.remove(self)
         for table in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in self.paths:

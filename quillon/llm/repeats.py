@@ -393,7 +393,7 @@ def remove(docs: DataFrame, rule: Rule, finish, schema) -> DataFrame:
         both = with_(open_).join(again.hint("shuffle_merge"), "chunk", "left")
         windows = judged(both.mapInArrow(lambda b: single(b, rule), SENT_DDL), rule).where("gone").select("chunk", "run", "more")
         gone = own.save(runs_of(stretches.where("gone").select("chunk", "run", "more").unionByName(windows)), "gone")
-        return C.save(with_(gone, "left").mapInArrow(finish, schema), "cut")
+        return own.result(with_(gone, "left").mapInArrow(finish, schema), "cut")
 
 
 #: Words: 20 in a window, whose least run of 10 is its anchor. Bytes: 50, and 24.
