@@ -37,9 +37,9 @@ def tokenizer(name: str):
     return _loaded[name]
 
 
-def added(tok) -> str:
-    """A pattern of the strings of added tokens, which may join what stands beside a space."""
-    return "|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values())
+def added(tok) -> list[str]:
+    """Strings of added tokens, which may join what stands beside a space."""
+    return [t.content for t in tok.get_added_tokens_decoder().values()]
 
 
 #: Places in a piece where the first split always cuts: round a lone line feed, and between a letter and what is no letter.
@@ -137,8 +137,8 @@ def encode(texts: pa.Array, name: str, end: int | None = END, remember: int = RE
     col = C.as_binary(texts).cast(pa.string())
     n = len(col)
     loose = pc.match_substring_regex(col, LOOSE).to_numpy(zero_copy_only=False)
-    if own := added(tok):
-        loose = loose | pc.match_substring_regex(col, own).to_numpy(zero_copy_only=False)
+    for own in added(tok):
+        loose = loose | pc.match_substring(col, own).to_numpy(zero_copy_only=False)
     alone = [e.ids for e in tok.encode_batch_fast(col.filter(pa.array(loose)).to_pylist(), add_special_tokens=False)]
     whole, whole_n = np.array([x for e in alone for x in e], np.uint32), np.array([len(e) for e in alone], np.int64)
     plain = pc.if_else(pa.array(loose), "", col)
