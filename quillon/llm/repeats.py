@@ -387,7 +387,8 @@ def remove(docs: DataFrame, rule: Rule, finish, schema) -> DataFrame:
         with_ = lambda said, how="inner": texts.join(said.hint("shuffle_merge"), "chunk", how)
         hits = own.save(repeated(texts.mapInArrow(lambda b: nominate(b, rule), NAMES_DDL)), "hits")
         stretches = own.save(judged(with_(hits, "left").mapInArrow(lambda b: stretch(b, rule), SENT_DDL), rule, "key"), "stretches")
-        several = stretches.where("head AND run >= 0").groupBy("key").count().where("count > 1").select("key")
+        # read anew, so that Spark can split the rows of a key that very many stretches share
+        several = own.save(stretches.where("head AND run >= 0").groupBy("key").count().where("count > 1").select("key"), "several")
         open_ = own.save(runs_of(stretches.where("NOT gone").join(several.hint("shuffle_merge"), "key", "left_semi")), "open")
         again = own.save(repeated(with_(open_).mapInArrow(lambda b: halves(b, rule), NAMES_DDL)), "halves")
         both = with_(open_).join(again.hint("shuffle_merge"), "chunk", "left")
