@@ -22,7 +22,7 @@ BACKENDS = {"flat": "exact search", "ivf": "cells, some of which are probed", "l
 COMPARED = (
     {"backend": "flat", "recall": "exact", "build": "none", "a query reads": "all vectors", "suits": "up to some 100 k chunks, or batches of queries"},
     {"backend": "ivf", "recall": "by the cells probed", "build": "k-means on a bounded sample, one pass", "a query reads": "the probed cells", "suits": "a million chunks and more"},
-    {"backend": "lsh", "recall": "by tables and planes", "build": "one pass, nothing fitted", "a query reads": "its buckets, and vectors found in them", "suits": "chunks that change often"},
+    {"backend": "lsh", "recall": "by tables and planes", "build": "one pass, nothing fitted", "a query reads": "buckets and vectors of all chunks, and scores those in its own", "suits": "chunks that change often"},
 )
 
 
@@ -125,11 +125,11 @@ class RetrievalSystem:
                 return None
             found["dense"] = vector.IvfIndex(np.array([r["vector"] for r in centres.orderBy("cell").collect()], np.float64), cells)
         elif self.backend == "lsh":
-            buckets, rows = self.store.load_index("lsh_buckets"), self.store.load_index("lsh_vectors")
-            if buckets is None or rows is None:
+            rows = self.store.load_index("lsh_rows")
+            if rows is None:
                 return None
             built = vector.LshIndex.build(rows.limit(0), width=self.width)
-            found["dense"] = vector.LshIndex(built.planes, buckets, rows)
+            found["dense"] = vector.LshIndex(built.planes, rows)
         return found
 
     def load_index(self) -> bool:
